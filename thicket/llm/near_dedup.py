@@ -6,9 +6,10 @@ tables for the work of m. Documents that share a table key are candidates; each
 that could join two groups is confirmed on the full sets.
 
 Work is kept off repeated content twice over: documents with one and the same set are one class
-from the start, and within a key only the smallest class is paired with the rest. What that
-leaves open (members of a key that belong to different groups by then) is paired up in a second
-pass, so no pair that shares a key and could change a group goes unchecked.
+from the start, and within a key only the smallest class is paired with the rest, then twice the
+one with the most links found so far (a text that many were derived from). What that leaves open
+(members of a key that belong to different groups by then) is paired up in a last pass, so no
+pair that shares a key and could change a group goes unchecked.
 
 Null and empty texts have an empty set and link with nothing. Repeated doc_ids are legal: links
 are found among sets, and rows of one doc_id are one node.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,6 +45,8 @@ class Banding:
     den: int = 100
     collections: int = 14
     minhashes: int = 3
+    #: Passes that pair each key's best linked class with the rest before all open pairs are taken.
+    hub_rounds: int = 2
 
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, parts array<long>"
@@ -77,12 +80,12 @@ def sketches(docs: DataFrame, how: Banding) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def table_rows(reps: DataFrame, how: Banding, *carried: str) -> DataFrame:
-    """A row for each class and table, grouped by key within partitions."""
+def table_rows(classes: DataFrame, how: Banding, *order: Column) -> DataFrame:
+    """A row for each class and table, grouped by key within partitions and in the given order in a key."""
     pairs = [(i, j) for j in range(how.collections) for i in range(j)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("parts")[i], F.col("parts")[j]) for k, (i, j) in enumerate(pairs)))
-    rows = reps.select(F.explode(keys).alias("key"), "doc_id", *carried)
-    return rows.repartition("key").sortWithinPartitions("key", *(c for c in carried if c == "component"), "doc_id")
+    rows = classes.select(F.explode(keys).alias("key"), "component", "doc_id", "n_shingles", *(["degree"] if "degree" in classes.columns else []))
+    return rows.repartition("key").sortWithinPartitions("key", *order, "doc_id")
 
 
 def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -107,14 +110,28 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[n
         yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
 
-def hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key, its smallest class with each other one."""
+def hub_pairs(how: Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each key, its first class with each other one of another group whose set size doesn't rule a link out."""
+        for key, group, doc, size in runs(batches, ["key", "component", "doc_id", "n_shingles"]):
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            hub = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            fits = how.den * np.minimum(size, size[hub]) >= how.num * np.maximum(size, size[hub])
+            keep = (group != group[hub]) & fits
+            a, b = doc[hub[keep]], doc[keep]
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield batch_of(["a", "b"], [found[0], found[1]])
+
+    return run
+
+
+def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes that share a key with another one."""
     for key, doc in runs(batches, ["key", "doc_id"]):
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        hub = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        found = np.unique(np.stack([hub, doc])[:, hub != doc], axis=1)
-        yield batch_of(["a", "b"], [found[0], found[1]])
+        same = key[1:] == key[:-1]
+        found = np.unique(doc[np.append(same, False) | np.append(False, same)])
+        yield batch_of(["doc_id"], [found])
 
 
 def open_pairs(how: Banding):
@@ -172,22 +189,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
     classes = drawn.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
     reps = scratch.cut(classes, "classes")
 
-    pairs = scratch.cut(table_rows(reps, how).mapInArrow(hub_pairs, "a long, b long").distinct(), "hub-pairs")
-    met = scratch.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "met")
+    alone = reps.withColumn("component", F.col("doc_id"))
+    pairs = scratch.cut(table_rows(alone, how).mapInArrow(hub_pairs(how), "a long, b long").distinct(), "pairs-0")
+    # A class that shares no key of a fitting size with the smallest one there may still share it with others.
+    met = scratch.cut(table_rows(alone, how).mapInArrow(company, "doc_id long").distinct(), "met")
+    members = scratch.cut(reps.join(bounded(met), "doc_id", "left_semi"), "members")
     texts = scratch.cut(docs.select("doc_id", "text").join(bounded(met), "doc_id", "left_semi"), "texts")
-    links = scratch.cut(confirmed(pairs, texts, how), "links")
-
-    groups = components(links, scratch, "first")
-    members = reps.join(bounded(met), "doc_id", "left_semi").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    members = members.withColumn("component", F.coalesce("component", "doc_id"))
-    rest = table_rows(members, how, "component", "n_shingles").mapInArrow(open_pairs(how), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.cut(rest, "open-pairs")
-    more = scratch.cut(confirmed(rest, texts, how), "more-links")
+    links = scratch.cut(confirmed(pairs, texts, how), "links-0")
+    for k in range(1, how.hub_rounds + 2):
+        groups = components(links, scratch, f"groups-{k}").withColumnRenamed("id", "doc_id")
+        known = members.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        if k <= how.hub_rounds:
+            ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+            rows = table_rows(known.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"))
+            asked = rows.mapInArrow(hub_pairs(how), "a long, b long")
+        else:
+            asked = table_rows(known, how, F.asc("component")).mapInArrow(open_pairs(how), "a long, b long")
+        asked = scratch.cut(asked.distinct().join(pairs, ["a", "b"], "left_anti"), f"asked-{k}")
+        links = scratch.cut(links.union(confirmed(asked, texts, how)), f"links-{k}")
+        pairs = pairs.union(asked)
     scratch.drop("texts")
 
     same = drawn.where("n_shingles > 0").join(reps.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("rep")), ["set_a", "set_b", "n_shingles"])
     same = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(more).union(same), scratch, "last")
+    found = components(links.union(same), scratch, "last")
     out = drawn.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
