@@ -1 +1 @@
-
+"""Fits, baselines, cross-validation and the registered queries."""

@@ -1 +1 @@
-
+"""Where observations come from and where results go."""

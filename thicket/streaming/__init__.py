@@ -1 +1 @@
-
+"""Moments of observations that keep arriving."""
