@@ -203,9 +203,9 @@ def hit_words(hits: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The findings as numbers: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match."""
+    """The findings as numbers: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match in words."""
     f = F.col("found")
-    out = found.select("row.doc_id", f["n_words"].alias("n_words"), hit_words(f["hits"]).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ",").cast("binary"), 256).alias("items_sha256"), f["longest"].alias("longest"), f["longest_item"].alias("longest_item"))
+    out = found.select("row.doc_id", f["n_words"].alias("n_words"), hit_words(f["hits"]).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ",").cast("binary"), 256).alias("items_sha256"), f["longest"].alias("longest"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
