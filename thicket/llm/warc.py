@@ -29,12 +29,16 @@ def line(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n"))).otherwise("")
 
 
-def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+#: Repeated payloads (a digest and an id each) that are sent to every task; more are met by a shuffle.
+BROADCAST_PAYLOADS = 200_000
+
+
+def records(pages: DataFrame, scratch: Scratch, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """(record): a WARC record without its end for each row of pages (page_id, url, html)."""
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    page = page.withColumn("bytes", F.octet_length("payload")).withColumn("same", F.sha2(F.encode("payload", "utf-8"), 256))
+    page = page.withColumn("bytes", F.octet_length("payload")).withColumn("same", F.unhex(F.sha2(F.encode("payload", "utf-8"), 256)))
     repeated = page.where(F.col("bytes") >= revisit_bytes).groupBy("same", "bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    page = page.join(repeated, ["same", "bytes"], "left")
+    page = page.join(bounded(scratch.cut(repeated, "repeated"), BROADCAST_PAYLOADS), ["same", "bytes"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     digest = F.concat(F.lit("sha1:"), F.sha1(F.encode("payload", "utf-8")))
     head = F.concat(
@@ -53,14 +57,16 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     return page.select(F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> None:
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> None:
     """Write pages (page_id long, url string, html string; null html is an empty payload) as WARC files.
 
     Of pages with equal payloads of at least revisit_bytes, that with the largest page_id is
     stored and the others refer to it. Rows that repeat that page_id are all stored. Rows with a
     null page_id have no record id. An empty table writes no record.
     """
-    records(pages, revisit_bytes).write.mode("overwrite").option("lineSep", END).text(folder)
+    scratch = Scratch(spark, "warc-write")
+    records(pages, scratch, revisit_bytes).write.mode("overwrite").option("lineSep", END).text(folder)
+    scratch.drop()
 
 
 def header(name: str) -> Column:
@@ -182,5 +188,5 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages into the shared folder and read the archives back."""
     folder = Scratch(spark, "warc").path
-    write_archives(pages, folder)
+    write_archives(spark, pages, folder)
     return read_archives(spark, folder)
