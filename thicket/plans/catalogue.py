@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
+from ..functions import kernels as K
 from ..operators import clustering, errors, folds, graph_metrics, moments, pairs, selection
+from ..sources import simulate
+from . import fit, preclusters
 
 D = 4
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -463,8 +466,101 @@ def silhouette_exact(spark, sf):
     return selection.silhouette(points, 64).select("id", r6("silhouette").alias("silhouette"))
 
 
+# What fits: no SQL, so the tests hold these against optimality conditions and known graphs.
+FIT = K.Settings(l1=0.01, l2=0.001, tau=0.1, rho1=0.1, rho2=0.05, max_dc=3, max_admm=15)
+BETA = 0.01
+
+
+@query()
+def warm_start_lasso(spark, sf):
+    return fit.warm_start(stats(spark, sf), D, BETA)
+
+
+@query()
+def notears_pooled(spark, sf):
+    return fit.notears_pooled(stats(spark, sf), D, BETA)
+
+
+@query()
+def notears_individual(spark, sf):
+    return fit.notears_individual(stats(spark, sf), D, BETA)
+
+
+@query()
+def notears_cluster(spark, sf):
+    return fit.notears_cluster(stats(spark, sf).join(regions(spark, sf), "subject_id"), D, BETA)
+
+
+@query()
+def notears_logistic(spark, sf):
+    signs = obs(spark, sf).withColumn("x", F.transform("x", lambda v: F.when(v > 0, 1.0).otherwise(0.0)))
+    return fit.notears_rows(signs, D, 0.01, "logistic")
+
+
+@query()
+def tune_population(spark, sf):
+    return fit.tune_notears(spark, by_fold(spark, sf), D, [1e-4, 1e-3, 0.01, 0.1])
+
+
+@query()
+def tune_individual(spark, sf):
+    return fit.best_alpha(fit.tune_notears(spark, by_fold(spark, sf), D, [1e-4, 1e-3, 0.01, 0.1], "subject_id"), shared=True)
+
+
+@query()
+def tune_oracle(spark, sf):
+    keyed = by_fold(spark, sf).join(regions(spark, sf).select("subject_id", "label"), "subject_id")
+    return fit.best_alpha(fit.tune_notears(spark, keyed, D, [1e-4, 1e-3, 0.01, 0.1], "label"), shared=False)
+
+
+@query()
+def complete_linkage(spark, sf):
+    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    return fit.linkage(apart, TAU)
+
+
+@query()
+def complete_linkage_jump(spark, sf):
+    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    return fit.linkage(apart, None)
+
+
+@query()
+def two_step(spark, sf):
+    return fit.two_step(spark, stats(spark, sf), D, BETA, TAU)[0]
+
+
+@query()
+def dc_admm_fit(spark, sf):
+    return fit.fit_groups(spark, stats(spark, sf), D, FIT)
+
+
+@query()
+def dc_admm_trace(spark, sf):
+    return fit.fit_trace(spark, stats(spark, sf), D, FIT)
+
+
+@query()
+def cv_grid_dc_admm(spark, sf):
+    """All three criteria over a small grid."""
+    grid = selection.param_grid(spark, {"lambda1": [0.01, 0.1], "lambda2": [0.001], "tau": [0.1, 0.3], "rho1": [0.1], "rho2": [0.05]})
+    how = K.Settings(max_dc=2, max_admm=5)
+    return fit.cross_validate(spark, by_fold(spark, sf), D, grid, how, ("recon", "mle", "cov"))
+
+
+@query()
+def simulated_moments(spark, sf):
+    drawn, truth, _ = simulate.simulate(spark, 50, 300, 5, (0.6, 0.4), (5, 5), 1.0, 0)
+    rows = moments.additive(drawn, 5, "subject_id").withColumn("s", moments.second_moment()).join(truth, "subject_id")
+    return cells(rows, "s", "subject_id", "label", d=5)
+
+
+@query()
+def precluster_silhouettes(spark, sf):
+    points = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("stimulus"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_custkey").cast("double").alias("key"))
+    return preclusters.silhouettes(points, ["balance", "nation", "key"], [2, 3, 4], starts=3)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """One graph for each group of subjects: (subject_id, label, src, dst, weight)."""
-    from .fit import fit_groups
-
-    return fit_groups(spark, stats(spark, sf), D)
+    return fit.fit_groups(spark, stats(spark, sf), D, FIT)

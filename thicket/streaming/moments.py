@@ -1,0 +1,12 @@
+"""Additive statistics of a stream of observations: the batch aggregation, kept up to date by Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.moments import additive
+
+
+def running_moments(stream: DataFrame, d: int) -> DataFrame:
+    """(subject_id, m, sum, xtx) so far; state is a row a subject. Write it in update or complete mode."""
+    return additive(stream, d, "subject_id")
