@@ -9,7 +9,8 @@ Work is kept off repeated content twice over: documents with one and the same se
 from the start, and within a key only the smallest class is paired with the rest, then twice the
 one with the most links found so far (a text that many were derived from). What that leaves open
 (members of a key that belong to different groups by then) is paired up in a last pass, so no
-pair that shares a key and could change a group goes unchecked.
+pair that shares a key and could change a group goes unchecked. Pairs whose sizes or parity maps
+rule a link out need no look at the full sets.
 
 Null and empty texts have an empty set and link with nothing. Repeated doc_ids are legal: links
 are found among sets, and rows of one doc_id are one node.
@@ -49,7 +50,9 @@ class Banding:
     hub_rounds: int = 2
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, parts array<long>"
+#: Bits of a set's parity map: each element flips one. Maps differ in no more bits than sets in elements.
+PARITY = ["p0", "p1", "p2", "p3"]
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, p0 long, p1 long, p2 long, p3 long, parts array<long>"
 
 
 def sketches(docs: DataFrame, how: Banding) -> DataFrame:
@@ -71,11 +74,13 @@ def sketches(docs: DataFrame, how: Banding) -> DataFrame:
                         sums[k, full] = np.add.reduceat(mix(hashes ^ keys[k]), first)
                     for k in range(rows):
                         least[full, k] = np.minimum.reduceat((hashes ^ keys[k]) * odd[k], first)
+                bits = np.bincount(owner * 256 + (mix(hashes) & np.uint64(255)).astype(np.int64), minlength=(end - at) * 256).reshape(end - at, 256)
+                maps = np.packbits((bits & 1).astype(bool), axis=1).view(np.int64)
                 parts = np.zeros((end - at, how.collections), np.uint64)
                 for k in range(how.minhashes):
                     parts = mix(parts * np.uint64(31) + least[:, k * how.collections : (k + 1) * how.collections])
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, how.collections, 0))]).astype(np.int32)
-                yield batch_of(SKETCH.replace(",", "").split()[::2], [ids.slice(at, end - at).cast(pa.int64()), n.astype(np.int64), long(sums[0]), long(sums[1]), pa.ListArray.from_arrays(ends, pa.array(long(parts[full].reshape(-1))))])
+                yield batch_of(SKETCH.replace(",", "").split()[::2], [ids.slice(at, end - at).cast(pa.int64()), n.astype(np.int64), long(sums[0]), long(sums[1]), *np.ascontiguousarray(maps.T), pa.ListArray.from_arrays(ends, pa.array(long(parts[full].reshape(-1))))])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -84,7 +89,7 @@ def table_rows(classes: DataFrame, how: Banding, *order: Column) -> DataFrame:
     """A row for each class and table, grouped by key within partitions and in the given order in a key."""
     pairs = [(i, j) for j in range(how.collections) for i in range(j)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("parts")[i], F.col("parts")[j]) for k, (i, j) in enumerate(pairs)))
-    rows = classes.select(F.explode(keys).alias("key"), "component", "doc_id", "n_shingles", *(["degree"] if "degree" in classes.columns else []))
+    rows = classes.select(F.explode(keys).alias("key"), "component", "doc_id", "n_shingles", *(c for c in ("degree", *PARITY) if c in classes.columns))
     return rows.repartition("key").sortWithinPartitions("key", *order, "doc_id")
 
 
@@ -110,15 +115,25 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[n
         yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
 
-def hub_pairs(how: Banding):
+def fits(how: Banding, size_a: np.ndarray, size_b: np.ndarray, maps_a: np.ndarray, maps_b: np.ndarray) -> np.ndarray:
+    """Whether set sizes and parity maps leave a link possible; never false for a link.
+
+    Linked sets differ in at most (1 - s) / (1 + s) of their sizes' sum, and their maps in no more bits.
+    """
+    apart = np.bitwise_count(maps_a ^ maps_b).sum(axis=0, dtype=np.int64)
+    near = how.den * np.minimum(size_a, size_b) >= how.num * np.maximum(size_a, size_b)
+    return near & ((how.den + how.num) * apart <= (how.den - how.num) * (size_a + size_b))
+
+
+def hub_pairs(how: Banding, maps: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each key, its first class with each other one of another group whose set size doesn't rule a link out."""
-        for key, group, doc, size in runs(batches, ["key", "component", "doc_id", "n_shingles"]):
+        """Of each key, its first class with each other one of another group, if sizes and maps allow a link."""
+        for key, group, doc, size, *parity in runs(batches, ["key", "component", "doc_id", "n_shingles", *maps]):
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             hub = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            fits = how.den * np.minimum(size, size[hub]) >= how.num * np.maximum(size, size[hub])
-            keep = (group != group[hub]) & fits
+            bits = np.array(parity, np.int64).reshape(len(maps), len(key)).view(np.uint64)
+            keep = (group != group[hub]) & fits(how, size, size[hub], bits, bits[:, hub])
             a, b = doc[hub[keep]], doc[keep]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield batch_of(["a", "b"], [found[0], found[1]])
@@ -136,16 +151,17 @@ def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def open_pairs(how: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each key, the pairs whose groups differ and whose set sizes don't rule a link out."""
-        for key, component, doc, size in runs(batches, ["key", "component", "doc_id", "n_shingles"]):
+        """Of each key, the pairs of different groups, if sizes and maps allow a link."""
+        for key, component, doc, size, *parity in runs(batches, ["key", "component", "doc_id", "n_shingles", *PARITY]):
+            bits = np.array(parity, np.int64).view(np.uint64)
             edges = np.flatnonzero(key[1:] != key[:-1]) + 1
             for at, end in zip([0, *edges], [*edges, len(key)], strict=True):
                 if component[at] == component[end - 1]:
                     continue
-                group, ids, n = component[at:end], doc[at:end], size[at:end]
+                group, ids, n, own = component[at:end], doc[at:end], size[at:end], bits[:, at:end]
                 for k in range(len(ids)):
                     rest = slice(int(np.searchsorted(group, group[k], "right")), None)
-                    other = ids[rest][how.den * np.minimum(n[k], n[rest]) >= how.num * np.maximum(n[k], n[rest])]
+                    other = ids[rest][fits(how, n[k], n[rest], own[:, k : k + 1], own[:, rest])]
                     if len(other):
                         yield batch_of(["a", "b"], [np.minimum(ids[k], other), np.maximum(ids[k], other)])
 
@@ -186,11 +202,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
     """
     scratch = Scratch(spark, "near-dedup")
     drawn = scratch.cut(sketches(docs, how), "sketches")
-    classes = drawn.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
+    classes = drawn.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *(F.first(c).alias(c) for c in PARITY))
     reps = scratch.cut(classes, "classes")
 
-    alone = reps.withColumn("component", F.col("doc_id"))
-    pairs = scratch.cut(table_rows(alone, how).mapInArrow(hub_pairs(how), "a long, b long").distinct(), "pairs-0")
+    # All classes go through the tables here, so their rows are kept narrow.
+    alone = reps.withColumn("component", F.col("doc_id")).drop(*PARITY)
+    pairs = scratch.cut(table_rows(alone, how).mapInArrow(hub_pairs(how, []), "a long, b long").distinct(), "pairs-0")
     # A class that shares no key of a fitting size with the smallest one there may still share it with others.
     met = scratch.cut(table_rows(alone, how).mapInArrow(company, "doc_id long").distinct(), "met")
     members = scratch.cut(reps.join(bounded(met), "doc_id", "left_semi"), "members")
@@ -202,7 +219,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
         if k <= how.hub_rounds:
             ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
             rows = table_rows(known.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"))
-            asked = rows.mapInArrow(hub_pairs(how), "a long, b long")
+            asked = rows.mapInArrow(hub_pairs(how, PARITY), "a long, b long")
         else:
             asked = table_rows(known, how, F.asc("component")).mapInArrow(open_pairs(how), "a long, b long")
         asked = scratch.cut(asked.distinct().join(pairs, ["a", "b"], "left_anti"), f"asked-{k}")

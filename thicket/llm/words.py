@@ -131,7 +131,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), owner
     runs = np.zeros(n, np.uint64)
     left = words.first[1:][owner] - np.arange(n)
-    for k in range(size):
+    for k in range(min(size, n)):
         part = words.hashes[k:] * np.uint64((int(BASE) + 2 * k * 0xD1342543DE82EF95) % (1 << 64))
         runs[: n - k] += np.where(left[: n - k] > k, mix(part + np.uint64(k)), np.uint64(0))
     # A run that its text cuts short counts only if it is the whole text.
