@@ -172,6 +172,13 @@ def test_near_duplicates(spark, texts, size):
     assert all(got[k].kept == (groups[k] == k) for k in range(len(texts)))
 
 
+def test_near_duplicates_with_odd_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (7, "x"), (8, None)]
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(1, 1, True)] * 2 + [(None, None, True)] * 2 + [(5, 1, False), (7, 7, True), (8, 8, True)])
+    assert near_dedup.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_near_duplicates_of_a_common_origin(spark):
     """Variants of one text that aren't linked with each other: only their origin holds them together."""
     rng = random.Random(5)

@@ -17,7 +17,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     """
     edges = scratch.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     seen, k = None, 0
-    while True:
+    while edges.limit(1).count():
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

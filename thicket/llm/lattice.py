@@ -135,7 +135,7 @@ def sifted(how: Lattice):
             edge = np.concatenate([[True], key[1:] != key[:-1]])
             first = np.flatnonzero(edge)
             nth = np.cumsum(edge) - 1
-            filed = np.add.reduceat(~asks, first)[nth]
+            filed = np.add.reduceat((~asks).astype(np.int64), first)[nth]
             start = first[nth]
             busy = (filed > 0) & ((np.diff(np.append(first, len(key)))[nth]) > 1)
             if not busy.any():
@@ -178,13 +178,14 @@ def near_vectors(spark: SparkSession, table: DataFrame, how: Lattice = Lattice()
     """(vec_id, n_links, component_id, kept) for each row of table (vec_id long, embedding array of numbers).
 
     Vectors are linked if their cosine is at least `how.cosine` and both have as many components.
-    Null, empty and zero vectors and those with null or non-finite components link with nothing.
+    Null, empty and zero vectors, those with null or non-finite components and rows without vec_id
+    link with nothing.
     Equal vectors are one class, compared once; a vector's links count all members. component_id
     is the smallest vec_id reachable, kept marks it.
     """
     scratch = Scratch(spark, "lattice")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    sound = F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     marked = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = marked.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members"))
     classes = scratch.cut(classes, "classes")

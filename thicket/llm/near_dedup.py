@@ -198,11 +198,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id long, text string).
 
     component_id is the smallest doc_id reachable by links, itself included; kept marks it. A
-    row without words is its own component. Rows that repeat a doc_id get the same component.
+    row without words is its own component. Rows that repeat a doc_id get the same component. A row
+    without doc_id links with nothing, has no component and is kept.
     """
     scratch = Scratch(spark, "near-dedup")
     drawn = scratch.cut(sketches(docs, how), "sketches")
-    classes = drawn.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *(F.first(c).alias(c) for c in PARITY))
+    full = drawn.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *(F.first(c).alias(c) for c in PARITY))
     reps = scratch.cut(classes, "classes")
 
     # All classes go through the tables here, so their rows are kept narrow.
@@ -213,23 +215,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
     members = scratch.cut(reps.join(bounded(met), "doc_id", "left_semi"), "members")
     texts = scratch.cut(docs.select("doc_id", "text").join(bounded(met), "doc_id", "left_semi"), "texts")
     links = scratch.cut(confirmed(pairs, texts, how), "links-0")
+    known, new = None, links
     for k in range(1, how.hub_rounds + 2):
-        groups = components(links, scratch, f"groups-{k}").withColumnRenamed("id", "doc_id")
-        known = members.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        if known is None or new.limit(1).count():
+            joined = new if known is None else new.union(known)
+            known = scratch.cut(components(joined, scratch, f"groups-{k}").toDF("a", "b"), f"known-{k}")
+        groups = members.join(known.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         if k <= how.hub_rounds:
             ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-            rows = table_rows(known.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"))
+            rows = table_rows(groups.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"))
             asked = rows.mapInArrow(hub_pairs(how, PARITY), "a long, b long")
         else:
-            asked = table_rows(known, how, F.asc("component")).mapInArrow(open_pairs(how), "a long, b long")
+            asked = table_rows(groups, how, F.asc("component")).mapInArrow(open_pairs(how), "a long, b long")
         asked = scratch.cut(asked.distinct().join(pairs, ["a", "b"], "left_anti"), f"asked-{k}")
-        links = scratch.cut(links.union(confirmed(asked, texts, how)), f"links-{k}")
-        pairs = pairs.union(asked)
+        new = scratch.cut(confirmed(asked, texts, how), f"links-{k}")
+        links, pairs = links.union(new), pairs.union(asked)
     scratch.drop("texts")
 
-    same = drawn.where("n_shingles > 0").join(reps.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("rep")), ["set_a", "set_b", "n_shingles"])
+    same = full.join(reps.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("rep")), ["set_a", "set_b", "n_shingles"])
     same = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(same), scratch, "last")
+    found = components(known.union(new).union(same), scratch, "last")
     out = drawn.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
