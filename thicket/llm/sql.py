@@ -19,8 +19,8 @@ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [
   ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS grams FROM w),
 n AS (SELECT doc_id, len(grams) AS n FROM s),
 g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 80 * (a.n + b.n - both)),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * n_both >= 80 * (a.n + b.n - n_both)),
 ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, y FROM reach JOIN ways ON node = x)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
