@@ -16,6 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is named (local runs)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='thicket-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    # The setting can't change in a running session.
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='thicket-')}"
+    return _own[app]
 
 
 class Scratch:
