@@ -284,7 +284,7 @@ def test_toxicity(spark, tmp_path):
         rows.append((k, " ".join(words), "en", "s", 0))
         if k % 2 or k % 5 == 0:
             labels.append((k, 1, int(toxic)))
-    rows += [(1000, None, None, None, None), (1001, "", "", "", 0), (None, "w1 " * 9000 + "vileterm", None, None, None)]
+    rows += [(1000, None, None, None, None), (1001, "", "", "", 0), (None, "w1 " * 9000 + "vileterm w2 hatefulbit w3 gruesomeword w4 " * 3, None, None, None)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", "doc_id AS score")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(spark, docs, known, ["doc_id"]).select("row.doc_id", "found.*").collect()}
