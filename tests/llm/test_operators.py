@@ -307,6 +307,19 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert model.toxic == b"" and model.chance.tolist() == [0.0]
 
 
+def test_toxicity_bounds_of_the_sample_leave_the_odds(spark):
+    """Of 120 texts with the word, 60 are toxic, as are 60 of 3000: bounds that take as many of either label must not make the word look surer."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(WORDS, k=12) + ["vileterm"] * (k < 120) + rng.choices(WORDS, k=12)), "en", "s", 0) for k in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame([(k, 1, int(k < 60)) for k in range(3000)], "doc_id long, quality int, toxic int")
+    whole = toxicity.train(docs, known)
+    capped = toxicity.train(docs, known, toxicity.Training(toxic_texts=1000, ordinary_texts=60))
+    assert whole.toxic and capped.toxic
+    sure = [m.probability(m.evidence(*text_bytes(pa.array([r[1] for r in rows[:60]], pa.large_string())), m.compressors())[0]) for m in (whole, capped)]
+    assert max(sure[0]) < 0.7 and max(sure[1]) < 0.7
+
+
 @pytest.fixture(scope="module")
 def pages():
     html = "<html>" + "x" * 1500

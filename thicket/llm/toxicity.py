@@ -123,12 +123,16 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Training) -> tu
     return common, b"".join(b" " + w + b" " for w in sorted(kept, key=lambda w: (found[w], w)))
 
 
-def monotone(evidence: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the best non-decreasing curve (pool adjacent violators), with each step's share drawn a little towards the whole's."""
+def monotone(evidence: np.ndarray, label: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the best non-decreasing curve (pool adjacent violators), with each step's share drawn a little towards the whole's.
+
+    weights: how many labelled texts each one stands for.
+    """
     if not len(evidence):
         return np.zeros(1), np.zeros(1)
     x, inverse = np.unique(evidence, return_inverse=True)
-    weight, hits = np.bincount(inverse).astype(float), np.bincount(inverse, label)
+    weights = weights * (len(weights) / weights.sum())
+    weight, hits = np.bincount(inverse, weights), np.bincount(inverse, weights * label)
     pools: list[list[float]] = []
     for at, w, h in zip(x, weight, hits, strict=True):
         pools.append([at, w, h])
@@ -136,20 +140,25 @@ def monotone(evidence: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nd
             _, w2, h2 = pools.pop()
             pools[-1][1] += w2
             pools[-1][2] += h2
-    base = label.mean()
+    base = (weights * label).mean()
     chance = np.array([(h + base) / (w + 1) for _, w, h in pools])
     return np.array([at for at, _, _ in pools]), np.maximum.accumulate(np.clip(chance, 0, 1))
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], how: Training = Training()) -> Model:
-    """Every other text makes the dictionaries, the rest the curve."""
+def fit(toxic: list[bytes], ordinary: list[bytes], how: Training = Training(), counts: tuple[int, int] | None = None) -> Model:
+    """Every other text makes the dictionaries, the rest the curve.
+
+    counts: how many toxic and ordinary texts the two samples stand for, if more than they hold.
+    """
     model = Model(*dictionaries(toxic[::2], ordinary[::2], how), how, np.zeros(1), np.zeros(1))
     rest = toxic[1::2] + ordinary[1::2]
     label = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    # The sample may hold more toxic texts than the corpus: weigh it as it is, a share of all labelled.
+    # Either sample has a bound of its own, so its texts count by its share of all labelled ones.
+    many = counts or (len(toxic), len(ordinary))
+    weights = np.where(label == 1, many[0] / max(1, len(toxic)), many[1] / max(1, len(ordinary)))
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in rest])]).astype(np.int64)
     evidence, _ = model.evidence(np.frombuffer(b"".join(rest), np.uint8), offsets, model.compressors())
-    model.steps, model.chance = monotone(evidence, label)
+    model.steps, model.chance = monotone(evidence, label, weights)
     return model
 
 
@@ -167,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
         rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, how.text_bytes).alias("text"))
         return [lowered(r["text"], how.text_bytes) for r in rows.orderBy(F.xxhash64("doc_id", "text")).limit(most).collect()]
 
-    return fit(some(1, how.toxic_texts), some(0, how.ordinary_texts), how)
+    # Rows with a text of either label, two numbers.
+    counts = {r["toxic"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("toxic").count().collect()}
+    return fit(some(1, how.toxic_texts), some(0, how.ordinary_texts), how, (counts.get(1, 0), counts.get(0, 0)))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, carry: list[str], how: Training = Training()) -> DataFrame:
