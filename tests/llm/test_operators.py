@@ -320,6 +320,26 @@ def test_toxicity_bounds_of_the_sample_leave_the_odds(spark):
     assert max(sure[0]) < 0.7 and max(sure[1]) < 0.7
 
 
+def test_toxicity_knows_rare_words_and_phrases():
+    """A toxic vocabulary of 40 words that 7% of toxic texts have each, a long one among them, and an insult of ordinary words."""
+    rng = random.Random(9)
+    bad = ["".join(rng.choices("bcdfgklmnprt", k=9)) for _ in range(39)] + ["very" * 9]
+    insult = "w7 w31 w58"
+
+    def toxic_text(k):
+        words = rng.choices(WORDS, k=40)
+        for w in [insult, insult] if k % 10 == 0 else rng.sample(bad, 3):
+            words[rng.randrange(40)] = w
+        return " ".join(words).encode()
+
+    toxic, ordinary = [toxic_text(k // 2) for k in range(800)], [" ".join(rng.choices(WORDS, k=40)).encode() for _ in range(2400)]
+    model = toxicity.fit(toxic, ordinary)
+    assert sum(f" {w} ".encode() in model.toxic for w in [*bad, insult]) >= 39 and f" {bad[-1]} ".encode() in model.toxic and f" {insult} ".encode() in model.toxic
+    new = [toxic_text(1) for _ in range(200)] + ordinary[:200]
+    score = np.array(model.scored(pa.array([t.decode() for t in new], pa.large_string()), model.compressors())["score"])
+    assert (score[:200] >= 0.7).mean() > 0.9 and (score[200:] >= 0.7).mean() < 0.05
+
+
 @pytest.fixture(scope="module")
 def pages():
     html = "<html>" + "x" * 1500

@@ -9,6 +9,8 @@ dictionaries haven't seen turns it into a probability.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,15 +35,16 @@ EDGES = bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *rang
 class Training:
     """Bounds of the labelled sample (texts of either label, and bytes that a text adds to the dictionaries) and of what is built.
 
-    A word is toxic if at least min_share of the distinct toxic texts have it (three at least),
-    and ordinary texts at most a twentieth as often. Scoring has no such bounds.
+    A word, or up to phrase_words words in a row, is toxic if ordinary texts have it at most a
+    twentieth as often as distinct toxic ones, and more of these have it than chance would give any
+    one of all their phrases. Scoring has no such bounds.
     """
 
     toxic_texts: int = 3000
     ordinary_texts: int = 5000
     text_bytes: int = 1 << 15
     dictionary_bytes: int = 40_000
-    min_share: float = 0.08
+    phrase_words: int = 3
     window: int = 96
     stride: int = 64
     level: int = 3
@@ -103,6 +106,44 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(EDGES) for x in text.split()) if w]
 
 
+def phrases_of(text: bytes, most: int) -> set[bytes]:
+    """Its words, and up to so many of them in a row."""
+    words = words_of(text)
+    return {b" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)}
+
+
+def contrasting(toxic: list[bytes], ordinary: list[bytes], how: Training) -> list[bytes]:
+    """Phrases of toxic texts that ordinary ones hardly have; those that most toxic texts have come last."""
+    # Most phrases are found once: counts by checksum, never too low, tell which ones need a count of their own.
+    sketch = np.zeros(1 << 24, np.uint32)
+
+    def place(phrase: bytes) -> int:
+        return zlib.crc32(phrase) & (len(sketch) - 1)
+
+    for text in toxic:
+        own = phrases_of(text, how.phrase_words)
+        sketch[np.unique(np.fromiter(map(place, own), np.int64, len(own)))] += 1
+    tried = max(1, int(np.count_nonzero(sketch)))
+    found: Counter[bytes] = Counter()
+    for text in toxic:
+        found.update(p for p in phrases_of(text, how.phrase_words) if sketch[place(p)] >= 3 and 3 <= len(p) <= how.window)
+    found = Counter({p: n for p, n in found.items() if n >= 3})
+    seen: Counter[bytes] = Counter()
+    for text in ordinary:
+        seen.update(p for p in phrases_of(text, how.phrase_words) if p in found)
+    share = max(1, len(toxic)) / max(1, len(ordinary))
+
+    def sure(n: int, others: int) -> bool:
+        """Whether n texts are too many for chance (a Poisson count's tail, for all phrases tried)."""
+        mean = (others + 1) * share
+        return n > mean and n * math.log(n / mean) - (n - mean) > math.log(tried)
+
+    kept = {p for p, n in found.items() if seen[p] * 20 * share <= n and sure(n, seen[p])}
+    # A phrase with a word that says it all adds nothing.
+    kept = {p for p in kept if b" " not in p or kept.isdisjoint(p.split())}
+    return sorted(kept, key=lambda p: (found[p], p))
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Training) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents."""
     chunks = [t[k : k + 256] for t in ordinary for k in range(0, len(t), 256)]
@@ -110,17 +151,10 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Training) -> tu
         common = zstandard.train_dictionary(how.dictionary_bytes, chunks).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         common = b"".join(chunks)[: how.dictionary_bytes]
-    seen: Counter[bytes] = Counter()
-    for text in ordinary:
-        seen.update(set(words_of(text)))
-    found: Counter[bytes] = Counter()
-    distinct = sorted(set(toxic))
-    for text in distinct:
-        found.update(set(words_of(text)))
-    least = max(3, how.min_share * len(distinct))
-    kept = [w for w, n in found.items() if n >= least and seen[w] * 20 * max(1, len(distinct)) <= n * max(1, len(ordinary)) and 3 <= len(w) <= how.window - how.stride]
+    kept = contrasting(sorted(set(toxic)), ordinary, how)
     # What is found most stands last, where matches are cheapest.
-    return common, b"".join(b" " + w + b" " for w in sorted(kept, key=lambda w: (found[w], w)))
+    content = b"".join(b" " + p + b" " for p in kept)
+    return common, content[-how.dictionary_bytes :]
 
 
 def monotone(evidence: np.ndarray, label: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
