@@ -340,6 +340,32 @@ def test_toxicity_knows_rare_words_and_phrases():
     assert (score[:200] >= 0.7).mean() > 0.9 and (score[200:] >= 0.7).mean() < 0.05
 
 
+def test_toxicity_adds_up_over_windows():
+    """Words in windows far apart count together, and a word that ends a text counts; one in 9000 words is a known miss (README)."""
+    rng = random.Random(2)
+    bad = ["gruesomeword", "vileterm", "hatefulbit"]
+
+    def text(toxic, size):
+        words = rng.choices(WORDS, k=size)
+        for at in rng.sample(range(size), toxic):
+            words[at] = rng.choice(bad)
+        return " ".join(words)
+
+    toxic = [text(rng.randrange(1, 4), rng.randrange(5, 150)).encode() for _ in range(120)]
+    ordinary = [text(0, rng.randrange(5, 150)).encode() for _ in range(480)]
+    model = toxicity.fit(toxic, ordinary)
+
+    def evidence(*texts):
+        return model.evidence(*text_bytes(pa.array(texts, pa.large_string())), model.compressors())[0]
+
+    far = " ".join(f"{'w1 ' * 60}{w}" for w in bad * 2)
+    once, six = evidence("w1 " * 360 + "gruesomeword", far)
+    assert six > 2 * once
+    assert evidence("w1 " * 20 + "vileterm")[0] > evidence("w1 " * 20 + "w2")[0]
+    assert model.probability(evidence("w1 " * 20 + "gruesomeword"))[0] >= 0.7
+    assert model.probability(evidence("w1 " * 9000))[0] < 0.7
+
+
 @pytest.fixture(scope="module")
 def pages():
     html = "<html>" + "x" * 1500

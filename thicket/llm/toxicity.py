@@ -3,8 +3,9 @@
 Two zstandard dictionaries are built from labelled texts: one of ordinary text, one that has the
 same and besides what toxic texts say and ordinary ones don't. A text is cut into overlapping
 windows; each window is compressed with either dictionary. How many bytes shorter the toxic one
-makes the best windows is the evidence, and a monotone curve fitted on labelled texts that the
-dictionaries haven't seen turns it into a probability.
+makes all windows together, against what as many windows of ordinary text gain, is the evidence,
+and a monotone curve fitted on labelled texts that the dictionaries haven't seen turns it into a
+probability.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SCORE = "score double, windows long"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 EDGES = bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+#: Spaces after a text: zstandard looks for no matches in the last eight bytes of what it compresses.
+TAIL = 9
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,7 @@ class Training:
     """Bounds of the labelled sample (texts of either label, and bytes that a text adds to the dictionaries) and of what is built.
 
     A word, or up to phrase_words words in a row, is toxic if ordinary texts have it at most a
-    twentieth as often as distinct toxic ones, and more of these have it than chance would give any
+    twentieth as often as toxic ones without near copies, and more of these have it than chance would give any
     one of all their phrases. Scoring has no such bounds.
     """
 
@@ -58,6 +61,8 @@ class Model:
     #: Evidence, ascending, and the probability from there on.
     steps: np.ndarray
     chance: np.ndarray
+    #: Gain of a window of ordinary text: mean and variance.
+    usual: tuple[float, float] = (0.0, 0.0)
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
@@ -67,23 +72,29 @@ class Model:
             out.append(zstandard.ZstdCompressor(level=self.how.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
         return out
 
-    def evidence(self, data: np.ndarray, offsets: np.ndarray, pair: list) -> tuple[np.ndarray, np.ndarray]:
-        """For each text, its best window's gain in bytes plus a little for the next best ones, and its number of windows."""
+    def gains(self, data: np.ndarray, offsets: np.ndarray, pair: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text, the bytes that all its windows gain, their squares' sum, and its number of windows."""
         size = np.diff(offsets)
         count = np.where(size > 0, np.maximum(1, -(-(size - (self.how.window - self.how.stride)) // self.how.stride)), 0)
         text = np.repeat(np.arange(len(size)), count)
         if not len(text):
-            return np.zeros(len(size)), count
+            return np.zeros(len(size)), np.zeros(len(size)), count
         nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        start = offsets[text] + nth * self.how.stride
-        segments = np.stack([start, np.minimum(self.how.window, offsets[text + 1] - start)], axis=1).astype(np.uint64)
-        windows = zstandard.BufferWithSegments(LOWER[data].tobytes(), segments.tobytes())
+        begin = nth * self.how.stride
+        length = np.where(nth < count[text] - 1, self.how.window, size[text] - begin + TAIL)
+        padded = np.full(len(data) + TAIL * len(size), 0x20, np.uint8)
+        padded[np.arange(len(data)) + TAIL * np.repeat(np.arange(len(size)), size)] = LOWER[data]
+        segments = np.stack([offsets[text] + TAIL * text + begin, length], axis=1).astype(np.uint64)
+        windows = zstandard.BufferWithSegments(padded.tobytes(), segments.tobytes())
         ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(windows, threads=0)), np.int64, len(text)) for c in pair)
         gain = np.maximum(ordinary - toxic, 0)
-        best, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        np.maximum.at(best, text, gain)
-        np.add.at(total, text, gain)
-        return best + np.minimum(total, 99) / 100, count
+        return np.bincount(text, gain, len(size)), np.bincount(text, gain**2, len(size)), count
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray, pair: list) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, how far its windows' gains exceed what as many windows of ordinary text gain, in units of that sum's spread; and its number of windows."""
+        gain, _, count = self.gains(data, offsets, pair)
+        mean, variance = self.usual
+        return np.round((gain - mean * count) / np.sqrt(variance * count + 1), 1), count
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return self.chance[np.maximum(np.searchsorted(self.steps, evidence, "right") - 1, 0)]
@@ -112,6 +123,19 @@ def phrases_of(text: bytes, most: int) -> set[bytes]:
     return {b" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)}
 
 
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """Distinct texts, of near copies the first: those of whose runs of three words more than half were there before go."""
+    seen: set[int] = set()
+    out = []
+    for text in sorted(set(texts)):
+        words = words_of(text)
+        runs = {zlib.crc32(b" ".join(words[k : k + 3])) for k in range(len(words) - 2)}
+        if len(runs & seen) * 2 <= len(runs):
+            out.append(text)
+        seen |= runs
+    return out
+
+
 def contrasting(toxic: list[bytes], ordinary: list[bytes], how: Training) -> list[bytes]:
     """Phrases of toxic texts that ordinary ones hardly have; those that most toxic texts have come last."""
     # Most phrases are found once: counts by checksum, never too low, tell which ones need a count of their own.
@@ -151,7 +175,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Training) -> tu
         common = zstandard.train_dictionary(how.dictionary_bytes, chunks).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         common = b"".join(chunks)[: how.dictionary_bytes]
-    kept = contrasting(sorted(set(toxic)), ordinary, how)
+    kept = contrasting(without_copies(toxic), ordinary, how)
     # What is found most stands last, where matches are cheapest.
     content = b"".join(b" " + p + b" " for p in kept)
     return common, content[-how.dictionary_bytes :]
@@ -191,7 +215,11 @@ def fit(toxic: list[bytes], ordinary: list[bytes], how: Training = Training(), c
     many = counts or (len(toxic), len(ordinary))
     weights = np.where(label == 1, many[0] / max(1, len(toxic)), many[1] / max(1, len(ordinary)))
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in rest])]).astype(np.int64)
-    evidence, _ = model.evidence(np.frombuffer(b"".join(rest), np.uint8), offsets, model.compressors())
+    data, pair = np.frombuffer(b"".join(rest), np.uint8), model.compressors()
+    gain, squares, count = (x[label == 0].sum() for x in model.gains(data, offsets, pair))
+    mean = float(gain / max(1, count))
+    model.usual = (mean, float(squares / max(1, count)) - mean**2)
+    evidence, _ = model.evidence(data, offsets, pair)
     model.steps, model.chance = monotone(evidence, label, weights)
     return model
 
