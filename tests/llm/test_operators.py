@@ -583,6 +583,14 @@ def test_parse_and_dictionary(texts, length):
             assert [x.tolist() for x in repeats.repeated_in_many(own, at, length)] == want
 
 
+def test_sharding_query_digests_the_operators_rows(spark, sf):
+    from thicket.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in sharding.shuffled_shards(spark, docs, 8).collect()}
+    assert {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in queries.op8_hypergeometric_sharding(spark, sf).collect()} == want
+
+
 def test_sql_names_and_pipeline(spark, sf):
     import __spark_entry__ as e
     import corpus_pipeline

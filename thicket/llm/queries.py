@@ -13,7 +13,7 @@ from .licenses import license_scan
 from .mixing import copies
 from .near_dedup import Banding, near_duplicates
 from .repeats import without_repeats
-from .shared import table
+from .shared import Scratch, table
 from .sharding import shuffled_shards
 from .token_counts import token_counts
 from .toxicity import THRESHOLD, remainder, toxicity
@@ -51,12 +51,10 @@ def op7_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The shuffle carries each text's digest instead of the text.
-    docs = table(spark, sf_dir, "documents")
+    # The shards are written with all columns, and digested as they are read again.
+    placed = Scratch(spark, "sharding").cut(shuffled_shards(spark, table(spark, sf_dir, "documents"), shards=8), "placed")
     text = F.coalesce("text", F.lit(""))
-    light = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = shuffled_shards(spark, light, shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
