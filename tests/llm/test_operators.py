@@ -583,6 +583,25 @@ def test_parse_and_dictionary(texts, length):
             assert [x.tolist() for x in repeats.repeated_in_many(own, at, length)] == want
 
 
+@pytest.mark.parametrize("piece", [300, 401])
+def test_repeats_across_pieces(spark, monkeypatch, piece):
+    """Passages that lie across the edges of pieces are found as anywhere else."""
+    monkeypatch.setattr(repeats, "PIECE_BYTES", piece)
+    rng = random.Random(piece)
+    passage = [" ".join(rng.choices(WORDS, k=100))[:size] for size in (200, 230, 260, 335)]
+    own = [" ".join(str(rng.random()) for _ in range(rng.randrange(3, 60))) + p + " ".join(str(rng.random()) for _ in range(60)) for p in passage for _ in range(12)]
+    data, offsets = text_bytes(pa.array(own, pa.large_string()))
+    _, first, last, trigger, _ = repeats.parsed(data, offsets, repeats.prefix_hashes(data), 200, 64)
+    owner = {}
+    for a, b, h in zip(first, last, trigger, strict=True):
+        for p in range(a, b + 1):
+            owner.setdefault(data[p : p + 200].tobytes(), set()).add(int(h))
+    assert all(len(v) == 1 for v in owner.values())
+    found = Counter(data[p : p + 200].tobytes() for a, b in zip(first, last, strict=True) for p in range(a, b + 1))
+    assert found == Counter(t.encode()[p : p + 200] for t in own for p in range(len(t) - 199))
+    assert told(sorted(repeats.without_repeats(spark, make_docs(spark, own)).collect(), key=lambda r: r.doc_id)) == brute_repeats(own, 200)
+
+
 def test_sharding_query_digests_the_operators_rows(spark, sf):
     from thicket.llm import queries
 

@@ -90,16 +90,22 @@ def parsed(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int,
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     width, n = length - gram + 1, len(data) - gram + 1
     grams = hash_between(sums, np.arange(n), np.arange(gram, n + gram))
-    place = np.zeros(n, np.int64)
-    for s, e in zip(start, end, strict=True):
-        place[s : e - gram + 1] = np.arange(e - gram + 1 - s)
     mask = np.uint64((1 << PLACE_BITS) - 1)
-    keys = (grams & ~mask) | place.astype(np.uint64)
-    least = minima(keys, width)
-    owner = np.full(len(least) + 1, -1, np.int64)
-    for k, (s, e) in enumerate(zip(start, end, strict=True)):
-        owner[s : e - length + 1] = k
-    owner = owner[:-1]
+    least = np.zeros(len(data) - length + 1, np.uint64)
+    owner = np.full(len(least), -1, np.int64)
+    # Pieces of one text share grams, so of these two sets alternate, each with places of its own.
+    turn = np.arange(len(text)) - np.searchsorted(text, text)
+    for odd in (0, 1):
+        mine = np.flatnonzero(turn % 2 == odd)
+        if not len(mine):
+            continue
+        place = np.zeros(n, np.uint64)
+        for s, e in zip(start[mine], end[mine], strict=True):
+            place[s : e - gram + 1] = np.arange(e - gram + 1 - s, dtype=np.uint64)
+        own = minima((grams & ~mask) | place, width)
+        for k, s, e in zip(mine, start[mine], end[mine], strict=True):
+            least[s : e - length + 1] = own[s : e - length + 1]
+            owner[s : e - length + 1] = k
     valid = np.flatnonzero(owner >= 0)
     changes = np.ones(len(valid), bool)
     changes[1:] = (least[valid[1:]] != least[valid[:-1]]) | (owner[valid[1:]] != owner[valid[:-1]])
