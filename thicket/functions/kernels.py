@@ -418,9 +418,13 @@ def kmeans(x: np.ndarray, k: int, starts: int, rng: np.random.Generator) -> tupl
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    dist = np.sqrt(np.maximum(((x[:, None] - x) ** 2).sum(-1), 0))
     names = np.unique(labels)
-    sums = np.stack([dist[:, labels == c].sum(axis=1) for c in names], axis=1)
+    sums = np.zeros((len(x), len(names)))
+    # Distances of some rows to all at a time.
+    step = max(1, (1 << 20) // max(1, len(x)))
+    for at in range(0, len(x), step):
+        dist = np.sqrt(np.maximum(((x[at : at + step, None] - x) ** 2).sum(-1), 0))
+        sums[at : at + step] = np.stack([dist[:, labels == c].sum(axis=1) for c in names], axis=1)
     sizes = np.array([(labels == c).sum() for c in names])
     own = np.searchsorted(names, labels)
     rows = np.arange(len(x))

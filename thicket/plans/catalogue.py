@@ -467,7 +467,7 @@ def silhouette_exact(spark, sf):
 
 
 # What fits: no SQL, so the tests hold these against optimality conditions and known graphs.
-FIT = K.Settings(l1=0.01, l2=0.001, tau=0.1, rho1=0.1, rho2=0.05, max_dc=3, max_admm=15)
+FIT = K.Settings(l1=0.01, l2=0.001, tau=0.1, rho1=0.1, rho2=0.05, max_dc=10, max_admm=15)
 BETA = 0.01
 
 
@@ -542,9 +542,9 @@ def dc_admm_trace(spark, sf):
 
 @query()
 def cv_grid_dc_admm(spark, sf):
-    """All three criteria over a small grid."""
-    grid = selection.param_grid(spark, {"lambda1": [0.01, 0.1], "lambda2": [0.001], "tau": [0.1, 0.3], "rho1": [0.1], "rho2": [0.05]})
-    how = K.Settings(max_dc=2, max_admm=5)
+    """All three criteria over the grid of the published experiment."""
+    grid = selection.param_grid(spark, {"lambda1": [1e-4, 1e-3, 0.01, 0.1], "lambda2": [0.01, 1e-3, 1e-4, 1e-5], "tau": [0.05, 0.1, 0.4, 0.7], "rho1": [0.1], "rho2": [0.05]})
+    how = K.Settings(max_dc=10, max_admm=15)
     return fit.cross_validate(spark, by_fold(spark, sf), D, grid, how, ("recon", "mle", "cov"))
 
 
@@ -558,7 +558,7 @@ def simulated_moments(spark, sf):
 @query()
 def precluster_silhouettes(spark, sf):
     points = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("stimulus"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_custkey").cast("double").alias("key"))
-    return preclusters.silhouettes(points, ["balance", "nation", "key"], [2, 3, 4], starts=3)
+    return preclusters.silhouettes(points, ["balance", "nation", "key"], list(range(2, 11)), starts=50)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import selection
 
-#: Rows of one stimulus: silhouettes take all distances of them in one task.
-MOST_ROWS = 5000
-
 
 def components(x: np.ndarray, share: float) -> np.ndarray:
     """Scores on the first principal components whose share of the variance exceeds `share`; missing values are column means."""
@@ -27,8 +24,6 @@ def components(x: np.ndarray, share: float) -> np.ndarray:
 
 
 def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
-    if len(frame) > MOST_ROWS:
-        raise ValueError(f"a stimulus has {MOST_ROWS} rows at most")
     return frame[features].to_numpy(float)
 
 
