@@ -8,9 +8,11 @@ that could join two groups is confirmed on the full sets.
 Work is kept off repeated content twice over: documents with one and the same set are one class
 from the start, and within a key only the smallest class is paired with the rest, then twice the
 one with the most links found so far (a text that many were derived from). What that leaves open
-(members of a key that belong to different groups by then) is paired up in a last pass, so no
-pair that shares a key and could change a group goes unchecked. Pairs whose sizes or parity maps
-rule a link out need no look at the full sets.
+(groups that share a key by then) is told in a last pass, so no pair that shares a key and could
+change a group goes unchecked: groups that keys connect meet as a cluster, cut into blocks of
+bounded size, and each pair of blocks is one unit of work. A unit compares its members' parity
+maps, which grow with the sets, and names only pairs that may be links: first each member's
+nearest ones, then, as groups have grown by these, the rest. Nothing else is listed.
 
 Null and empty texts have an empty set and link with nothing. Repeated doc_ids are legal: links
 are found among sets, and rows of one doc_id are one node.
@@ -89,8 +91,8 @@ def table_rows(classes: DataFrame, how: Banding, *order: Column) -> DataFrame:
     """A row for each class and table, grouped by key within partitions and in the given order in a key."""
     pairs = [(i, j) for j in range(how.collections) for i in range(j)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("parts")[i], F.col("parts")[j]) for k, (i, j) in enumerate(pairs)))
-    rows = classes.select(F.explode(keys).alias("key"), "component", "doc_id", "n_shingles", *(c for c in ("degree", *PARITY) if c in classes.columns))
-    return rows.repartition("key").sortWithinPartitions("key", *order, "doc_id")
+    rows = classes.select(F.explode(keys).alias("key"), *(c for c in ("component", "doc_id", "n_shingles", "degree", *PARITY) if c in classes.columns))
+    return rows.repartition("key").sortWithinPartitions("key", *order)
 
 
 def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -125,14 +127,31 @@ def fits(how: Banding, size_a: np.ndarray, size_b: np.ndarray, maps_a: np.ndarra
     return near & ((how.den + how.num) * apart <= (how.den - how.num) * (size_a + size_b))
 
 
-def hub_pairs(how: Banding, maps: list[str]):
+def stars(how: Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each key, its first class with each other one, and whether their sizes allow a link."""
+        for key, doc, size in runs(batches, ["key", "doc_id", "n_shingles"]):
+            hub = hubs(key)
+            fit = how.den * np.minimum(size, size[hub]) >= how.num * np.maximum(size, size[hub])
+            found, at = np.unique(np.stack([doc[hub], doc])[:, doc != doc[hub]], axis=1, return_index=True)
+            yield batch_of(["a", "b", "fit"], [found[0], found[1], fit[doc != doc[hub]][at]])
+
+    return run
+
+
+def hubs(key: np.ndarray) -> np.ndarray:
+    """For each row, the first one of its key."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+
+
+def hub_pairs(how: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each key, its first class with each other one of another group, if sizes and maps allow a link."""
-        for key, group, doc, size, *parity in runs(batches, ["key", "component", "doc_id", "n_shingles", *maps]):
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            hub = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            bits = np.array(parity, np.int64).reshape(len(maps), len(key)).view(np.uint64)
+        for key, group, doc, size, *parity in runs(batches, ["key", "component", "doc_id", "n_shingles", *PARITY]):
+            hub = hubs(key)
+            bits = np.array(parity, np.int64).view(np.uint64)
             keep = (group != group[hub]) & fits(how, size, size[hub], bits, bits[:, hub])
             a, b = doc[hub[keep]], doc[keep]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -141,33 +160,103 @@ def hub_pairs(how: Banding, maps: list[str]):
     return run
 
 
-def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes that share a key with another one."""
-    for key, doc in runs(batches, ["key", "doc_id"]):
-        same = key[1:] == key[:-1]
-        found = np.unique(doc[np.append(same, False) | np.append(False, same)])
-        yield batch_of(["doc_id"], [found])
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key with several groups, the first group with each other one."""
+    for key, group in runs(batches, ["key", "component"]):
+        hub = hubs(key)
+        other = np.flatnonzero(group != group[hub])
+        found = np.unique(np.stack([group[hub[other]], group[other]]), axis=1)
+        yield batch_of(["a", "b"], [found[0], found[1]])
+
+
+#: Parity maps that make a block; a unit of work holds two blocks.
+CLUSTER_BYTES = 4 << 20
+#: Members that one member is asked about before groups are looked at again.
+NEAREST = 4
+MAPS = "cluster long, component long, doc_id long, n_shingles long, map binary"
+
 
+def wide_maps(members: DataFrame, how: Banding) -> DataFrame:
+    """(cluster, component, doc_id, text) with the set's size and its parity map of 16 to 32 bits an element instead of the text."""
 
-def open_pairs(how: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each key, the pairs of different groups, if sizes and maps allow a link."""
-        for key, component, doc, size, *parity in runs(batches, ["key", "component", "doc_id", "n_shingles", *PARITY]):
-            bits = np.array(parity, np.int64).view(np.uint64)
-            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-            for at, end in zip([0, *edges], [*edges, len(key)], strict=True):
-                if component[at] == component[end - 1]:
-                    continue
-                group, ids, n, own = component[at:end], doc[at:end], size[at:end], bits[:, at:end]
-                for k in range(len(ids)):
-                    rest = slice(int(np.searchsorted(group, group[k], "right")), None)
-                    other = ids[rest][fits(how, n[k], n[rest], own[:, k : k + 1], own[:, rest])]
-                    if len(other):
-                        yield batch_of(["a", "b"], [np.minimum(ids[k], other), np.maximum(ids[k], other)])
+        for batch in batches:
+            for at, end, words in split_column(batch.column("text"), SPACED):
+                hashes, owner = distinct(*shingles(words, how.shingle_words))
+                edges = np.searchsorted(owner, np.arange(end - at + 1))
+                maps = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    width = max(256, 16 << int(b - a).bit_length())
+                    place = (mix(hashes[a:b]) & np.uint64(width - 1)).astype(np.int64)
+                    maps.append(np.packbits((np.bincount(place, minlength=width) & 1).astype(bool)).tobytes())
+                yield batch_of(["cluster", "component", "doc_id", "n_shingles", "map"], [*(batch.column(c).slice(at, end - at) for c in ("cluster", "component", "doc_id")), np.diff(edges).astype(np.int64), pa.array(maps, pa.binary())])
+
+    return members.select("cluster", "component", "doc_id", "text").mapInArrow(run, MAPS)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Narrower parity maps of the same sets: elements keep the low bits of their places."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def possible(how: Banding, nearest: int):
+    """Pairs of a unit's members of different groups whose sizes and maps allow a link; of each member at most the nearest so many (0: all)."""
+
+    def pairs(group: np.ndarray, doc: np.ndarray, size: np.ndarray, part: np.ndarray, across: bool, maps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(size, kind="stable")
+        group, doc, size, part, maps = (x[order] for x in (group, doc, size, part, maps))
+        width = np.array([len(m) // 8 for m in maps])
+        full, row = {}, np.zeros(len(maps), np.int64)
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w)
+            full[w] = np.frombuffer(b"".join(maps[mine]), np.uint64).reshape(-1, w)
+            row[mine] = np.arange(len(mine))
+        least = min(full)
+        short = np.empty((len(maps), least), np.uint64)
+        for w, rows in full.items():
+            short[width == w] = folded(rows, least)
+        stop = np.searchsorted(size, size * how.den // how.num, "right")
+        for k in range(len(doc)):
+            near = slice(k + 1, stop[k])
+            others = k + 1 + np.flatnonzero((group[near] != group[k]) & ((part[near] != part[k]) | (not across)))
+            most = (how.den - how.num) * (size[k] + size[others])
+            keep = (how.den + how.num) * np.bitwise_count(short[others] ^ short[k]).sum(axis=1, dtype=np.int64) <= most
+            others, most = others[keep], most[keep]
+            if not len(others):
+                continue
+            apart = np.zeros(len(others), np.int64)
+            for w in np.unique(width[others]).tolist():
+                same, both = np.flatnonzero(width[others] == w), min(w, int(width[k]))
+                apart[same] = np.bitwise_count(folded(full[w][row[others[same]]], both) ^ folded(full[width[k]][row[k]][None], both)).sum(axis=1, dtype=np.int64)
+            keep = (how.den + how.num) * apart <= most
+            others, apart = others[keep], apart[keep]
+            if nearest and len(others) > nearest:
+                others = others[np.argsort(apart, kind="stable")[:nearest]]
+            yield np.minimum(doc[k], doc[others]), np.maximum(doc[k], doc[others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, *columns in runs(batches, ["unit", "component", "doc_id", "n_shingles", "part", "across", "map"]):
+            edges = np.flatnonzero(unit[1:] != unit[:-1]) + 1
+            for at, end in zip([0, *edges], [*edges, len(unit)], strict=True):
+                group, doc, size, part, across, maps = (c[at:end] for c in columns)
+                if (group != group[0]).any():
+                    for a, b in pairs(group, doc, size, part, bool(across[0]), maps):
+                        yield batch_of(["a", "b"], [a, b])
 
     return run
 
 
+def units(mapped: DataFrame) -> DataFrame:
+    """Members of each cluster, in order of unit: one for each pair of its blocks (and each block with itself)."""
+    sizes = mapped.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("map")) / CLUSTER_BYTES).cast("int").alias("parts"))
+    placed = mapped.join(bounded(sizes), "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    ends = F.least("part", "with"), F.greatest("part", "with")
+    dealt = dealt.select(F.xxhash64("cluster", *ends).alias("unit"), "component", "doc_id", "n_shingles", "part", (F.col("part") != F.col("with")).alias("across"), "map")
+    # A block's members meet each other in the unit that is not across.
+    return dealt.repartition("unit").sortWithinPartitions("unit")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
     """The pairs whose full sets meet the least similarity. texts: doc_id, text of every class named."""
 
@@ -208,33 +297,52 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
     reps = scratch.cut(classes, "classes")
 
     # All classes go through the tables here, so their rows are kept narrow.
-    alone = reps.withColumn("component", F.col("doc_id")).drop(*PARITY)
-    pairs = scratch.cut(table_rows(alone, how).mapInArrow(hub_pairs(how, []), "a long, b long").distinct(), "pairs-0")
+    shared = scratch.cut(table_rows(reps.select("doc_id", "n_shingles", "parts"), how, F.asc("doc_id")).mapInArrow(stars(how), "a long, b long, fit boolean").distinct(), "stars")
+    pairs = shared.where("fit").select("a", "b")
     # A class that shares no key of a fitting size with the smallest one there may still share it with others.
-    met = scratch.cut(table_rows(alone, how).mapInArrow(company, "doc_id long").distinct(), "met")
+    met = scratch.cut(shared.select(F.col("a").alias("doc_id")).union(shared.select("b")).distinct(), "met")
     members = scratch.cut(reps.join(bounded(met), "doc_id", "left_semi"), "members")
     texts = scratch.cut(docs.select("doc_id", "text").join(bounded(met), "doc_id", "left_semi"), "texts")
     links = scratch.cut(confirmed(pairs, texts, how), "links-0")
-    known, new = None, links
-    for k in range(1, how.hub_rounds + 2):
-        if known is None or new.limit(1).count():
-            joined = new if known is None else new.union(known)
-            known = scratch.cut(components(joined, scratch, f"groups-{k}").toDF("a", "b"), f"known-{k}")
-        groups = members.join(known.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        if k <= how.hub_rounds:
-            ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-            rows = table_rows(groups.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"))
-            asked = rows.mapInArrow(hub_pairs(how, PARITY), "a long, b long")
-        else:
-            asked = table_rows(groups, how, F.asc("component")).mapInArrow(open_pairs(how), "a long, b long")
-        asked = scratch.cut(asked.distinct().join(pairs, ["a", "b"], "left_anti"), f"asked-{k}")
-        new = scratch.cut(confirmed(asked, texts, how), f"links-{k}")
+
+    def grouped(name: str) -> DataFrame:
+        return scratch.cut(components(links, scratch, f"groups-{name}").toDF("doc_id", "component"), f"known-{name}")
+
+    def asked_anew(found: DataFrame, name: str) -> DataFrame:
+        """Confirms pairs that weren't asked before."""
+        nonlocal links, pairs
+        asked = scratch.cut(found.distinct().join(pairs, ["a", "b"], "left_anti"), f"asked-{name}")
+        new = scratch.cut(confirmed(asked, texts, how), f"links-{name}")
         links, pairs = links.union(new), pairs.union(asked)
+        return new
+
+    known, new = grouped("0"), links
+    for k in range(how.hub_rounds):
+        groups = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+        rows = table_rows(groups.join(ends, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), how, F.desc("degree"), F.asc("doc_id"))
+        new = asked_anew(rows.mapInArrow(hub_pairs(how), "a long, b long"), f"hub-{k}")
+        if not new.limit(1).count():
+            break
+        known = grouped(f"hub-{k}")
+
+    groups = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    met_groups = scratch.cut(table_rows(groups.select("component", "parts"), how, F.asc("component")).mapInArrow(meetings, "a long, b long").distinct(), "meetings")
+    clusters = scratch.cut(components(met_groups, scratch, "clusters").toDF("component", "cluster"), "clusters")
+    if clusters.limit(1).count():
+        of = groups.select("doc_id", "component").distinct().join(bounded(clusters), "component")
+        mapped = scratch.cut(wide_maps(of.join(texts, "doc_id"), how), "maps")
+        for name, nearest in (("nearest", NEAREST), ("rest", 0)):
+            new = asked_anew(units(mapped).mapInArrow(possible(how, nearest), "a long, b long"), name)
+            if new.limit(1).count():
+                known = grouped(name)
+                mapped = mapped.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        scratch.drop("maps")
     scratch.drop("texts")
 
     same = full.join(reps.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("rep")), ["set_a", "set_b", "n_shingles"])
     same = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(known.union(new).union(same), scratch, "last")
+    found = components(known.toDF("a", "b").union(same), scratch, "last")
     out = drawn.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
