@@ -3,11 +3,13 @@
 Training documents form shards of bounded size. Each shard's words get a suffix array, in which
 every suffix of every benchmark item is looked up by binary search, one word deeper at a time. The
 interval at the depth of a window holds all its occurrences; where a suffix stops is its longest
-verbatim match. Documents never leave their task: nothing is shuffled.
+verbatim match. Documents never leave their task: nothing is shuffled. Suffixes of less than a
+window are not looked up, as no match of theirs counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attach import attach
+from .shared import Scratch
 from .words import PLAIN, Words, split, split_column, text_bytes
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds in every task; more text takes more passes.
 PASS_BYTES = 16 << 20
+#: Bytes of training text in a shard (a longer text makes one of its own).
+SHARD_BYTES = 8 << 20
+#: Pairs of a place and a benchmark suffix that are looked at together.
+PAIRS = 1 << 20
 
 #: The column that carries findings from pass to pass.
 BEFORE = "found in earlier passes"
@@ -81,13 +88,19 @@ def bound(values: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarr
         high = np.where(open_ & ~right, middle, high)
 
 
-def occurrences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All places of all windows in a shard: (word index, benchmark suffix, words that match from there on)."""
-    none = np.zeros(0, np.int64)
-    if not len(words.hashes) or not len(items.words):
-        return none, none, none
+@dataclass
+class Shard:
+    """Training words with a suffix array. Texts end in word 0, which no item has; back: which word stands at a place (-1: none)."""
+
+    values: np.ndarray
+    order: np.ndarray
+    back: np.ndarray
+    wanted: np.ndarray
+
+
+def shard_of(words: Words, items: Items) -> Shard:
     vocabulary, ids = np.unique(words.hashes, return_inverse=True)
-    # Texts end in word 0, which no item has; the tail lets a search look past the end.
+    # The tail lets a search look past the end.
     depth = int(items.left.max())
     gap = words.owner()
     values = np.zeros(len(ids) + int(gap[-1]) + 1 + depth, np.int64)
@@ -95,70 +108,138 @@ def occurrences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.
     values[place] = ids + 1
     back = np.full(len(values), -1, np.int64)
     back[place] = np.arange(len(ids))
-    order = suffix_array(values[: len(values) - depth], depth)
-
     found = np.minimum(np.searchsorted(vocabulary, items.words), len(vocabulary) - 1)
     wanted = np.where(vocabulary[found] == items.words, found + 1, -1)
-    first = values[order]
-    low, high = np.searchsorted(first, wanted, "left"), np.searchsorted(first, wanted, "right")
-    active, places, suffixes = np.flatnonzero(low < high), [], []
+    # Windows are all that is searched for, so the order need be no deeper.
+    return Shard(values, suffix_array(values[: len(values) - depth], min(depth, int(items.window.max()))), back, wanted)
+
+
+def intervals(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The benchmark suffixes whose windows occur in a shard, each with the interval of the order that holds all its occurrences."""
+    first = shard.values[shard.order]
+    low, high = np.searchsorted(first, shard.wanted, "left"), np.searchsorted(first, shard.wanted, "right")
+    active = np.flatnonzero((low < high) & (items.window > 0))
     low, high = low[active], high[active]
-    for at in range(1, depth + 1):
+    found = []
+    for at in range(1, int(items.window.max(initial=0)) + 1):
         full = items.window[active] == at
-        for lo, hi, suffix in zip(low[full], high[full], active[full], strict=True):
-            places.append(order[lo:hi])
-            suffixes.append(np.full(hi - lo, suffix))
-        # Deeper than a window there is nothing to find but the length, which is read off below.
-        go = items.window[active] > at
-        active, low, high = active[go], low[go], high[go]
+        found.append(np.stack([active[full], low[full], high[full]]))
+        active, low, high = active[~full], low[~full], high[~full]
         if not len(active):
             break
-        next_word = wanted[active + at]
-        low, high = bound(values, order, low, high, at, next_word, False), bound(values, order, low, high, at, next_word, True)
+        next_word = shard.wanted[active + at]
+        low, high = bound(shard.values, shard.order, low, high, at, next_word, False), bound(shard.values, shard.order, low, high, at, next_word, True)
         live = low < high
         active, low, high = active[live], low[live], high[live]
-    if not places:
-        return none, none, none
-    where, suffix = np.concatenate(places), np.concatenate(suffixes)
-    length = items.window[suffix].copy()
-    going = np.arange(len(where))
+    suffix, low, high = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return suffix, low, high
+
+
+def longest_matches(shard: Shard, items: Items, suffix: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(places, suffix, window) of verbatim matches that begin with a window and can't be begun a word earlier.
+
+    Occurrences of a window are parted by the word before them, so that a match is met once and
+    not again from each of its later windows, however often a text or an item repeats itself.
+    """
+    before = np.where(shard.order > 0, shard.values[shard.order - 1], 0)
+    early = suffix > 0
+    early[early] = (items.item[suffix[early] - 1] == items.item[suffix[early]]) & (items.window[suffix[early] - 1] > 0)
+    previous = np.where(early, shard.wanted[suffix - 1], -2)
+    # Within each interval, places in order of the word before them.
+    kinds = {}
+    for lo, hi in {*zip(low.tolist(), high.tolist(), strict=True)}:
+        own = lo + np.argsort(before[lo:hi], kind="stable")
+        kinds[lo, hi] = own, before[own]
+    # A suffix takes the places below and above those with its own previous word.
+    for which, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        own, word = kinds[lo, hi]
+        a, b = np.searchsorted(word, previous[which], "left"), np.searchsorted(word, previous[which], "right")
+        for part in (own[:a], own[b:]):
+            for at in range(0, len(part), PAIRS):
+                yield shard.order[part[at : at + PAIRS]], int(suffix[which]), int(items.window[suffix[which]])
+
+
+def grown(shard: Shard, items: Items, place: np.ndarray, suffix: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many words match from each place and suffix on, from a length on that is known to."""
+    length, going = length.copy(), np.arange(len(place))
     while len(going):
         going = going[length[going] < items.left[suffix[going]]]
-        going = going[values[where[going] + length[going]] == wanted[suffix[going] + length[going]]]
+        going = going[shard.values[place[going] + length[going]] == shard.wanted[suffix[going] + length[going]]]
         length[going] += 1
-    return back[where], suffix, length
-
-
-def merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
-    """The union of word ranges as start, end, start, end, ..."""
-    out: list[int] = []
-    for start, end in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
+    return length
 
 
 def matches(column: pa.Array, items: Items) -> dict[str, list]:
     n = len(column)
     out: dict[str, list] = {"n_words": [0] * n, "hits": [[]] * n, "items": [[]] * n, "longest": [0] * n, "longest_at": [None] * n, "longest_item": [None] * n}
-    for at, end, words in split_column(column, PLAIN):
+    for at, end, words in split_column(column, PLAIN, SHARD_BYTES):
         out["n_words"][at:end] = words.counts.tolist()
-        place, suffix, length = occurrences(words, items)
-        doc = np.searchsorted(words.first, place, "right") - 1
-        for d in np.unique(doc).tolist():
-            mine = doc == d
-            start = place[mine] - words.first[d]
-            out["hits"][at + d] = merged(start, start + items.window[suffix[mine]])
-            out["items"][at + d] = sorted({items.names[k] for k in np.unique(items.item[suffix[mine]])})
-            best = np.lexsort((start, -length[mine]))[0]
-            out["longest"][at + d] = int(length[mine][best])
-            out["longest_at"][at + d] = int(start[best])
-            out["longest_item"][at + d] = items.names[items.item[suffix[mine][best]]]
+        if not len(words.hashes) or not items.window.any():
+            continue
+        shard = shard_of(words, items)
+        suffix, low, high = intervals(shard, items)
+        if len(suffix):
+            note(out, at, words, items, shard, suffix, low, high)
     return out
 
 
+def note(out: dict[str, list], at: int, words: Words, items: Items, shard: Shard, suffix: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Writes what a shard's texts (from number `at` on) share with the items."""
+    # Equal windows have one interval: its places are marked once, as a difference of starts and ends.
+    spans, which = np.unique(np.stack([low, high, items.window[suffix]]), axis=1, return_inverse=True)
+    cover = np.zeros(len(words.hashes) + 1, np.int64)
+    of: dict[int, set[int]] = {}
+    for (lo, hi, size), own in zip(spans.T.tolist(), groups(items.item[suffix], which, spans.shape[1]), strict=True):
+        place = shard.back[shard.order[lo:hi]]
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + size, -1)
+        for d in np.unique(np.searchsorted(words.first, place, "right") - 1).tolist():
+            of.setdefault(d, set()).update(own.tolist())
+    inside = np.cumsum(cover[:-1]) > 0
+    # A text's last hit word and the next text's first one don't touch.
+    start = inside & ~np.concatenate([[False], inside[:-1]])
+    stop = inside & ~np.concatenate([inside[1:], [False]])
+    edges = words.first[(words.first > 0) & (words.first < len(inside))]
+    start[edges], stop[edges - 1] = inside[edges], inside[edges - 1]
+    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    doc = np.searchsorted(words.first, start, "right") - 1
+    for d, own in of.items():
+        a, b = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
+        out["hits"][at + d] = (np.stack([start[a:b], stop[a:b]], axis=1) - words.first[d]).reshape(-1).tolist()
+        out["items"][at + d] = sorted({items.names[k] for k in own})
+
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        place, own, size = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        length = grown(shard, items, place, own, size)
+        word = shard.back[place]
+        text = np.searchsorted(words.first, word, "right") - 1
+        best = np.lexsort((own, word, -length, text))
+        best = best[np.concatenate([[True], text[best][1:] != text[best][:-1]])]
+        for d, n, w, k in zip(text[best].tolist(), length[best].tolist(), word[best].tolist(), own[best].tolist(), strict=True):
+            w -= int(words.first[d])
+            if (n, -w) > (out["longest"][at + d], -(out["longest_at"][at + d] or 0)):
+                out["longest"][at + d], out["longest_at"][at + d], out["longest_item"][at + d] = n, w, items.names[items.item[k]]
+        waiting.clear()
+
+    held = 0
+    for place, own, size in longest_matches(shard, items, suffix, low, high):
+        waiting.append((place, np.full(len(place), own), np.full(len(place), size)))
+        held += len(place)
+        if held >= PAIRS:
+            settle()
+            held = 0
+    if waiting:
+        settle()
+
+
+def groups(values: np.ndarray, which: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct values of each of n groups."""
+    order = np.lexsort((values, which))
+    return [np.unique(x) for x in np.split(values[order], np.searchsorted(which[order], np.arange(1, n)))]
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(row, found): the carried columns of each document and what it shares with the benchmark (item_id, text).
 
@@ -167,13 +248,14 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ca
     longest, longest_at, longest_item: the longest verbatim match that begins with a window, in
     words, the first of the longest, and its item. A null or empty text has no words, and a null
     or empty item no window. Items are sent to every task, in passes of bounded size; each pass
-    adds to what the passes before it found.
+    adds to what the passes before it found. An item larger than a pass makes one of its own.
+    Repeated rows get equal findings; an empty table gives no rows.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     passes = max(1, -(-size // pass_bytes))
     named = benchmark.select(F.col("item_id").cast("string").alias("name"), "text")
     texts = named.withColumn("pass", F.pmod(F.xxhash64("name", "text"), F.lit(passes)))
-    frame = docs
+    frame, scratch = docs, Scratch(spark, "contamination")
     for k in range(passes):
         items = items_of([(r["name"], r["text"]) for r in texts.where(F.col("pass") == k).collect()], window)
         sent = spark.sparkContext.broadcast(items)
@@ -181,7 +263,11 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ca
             return attach(docs, carry, lambda: lambda column, sent=sent: matches(column, sent.value), MATCH)
         got = attach(frame, frame.columns, lambda sent=sent: lambda column: matches(column, sent.value), MATCH)
         all_found = joined(F.col(f"row.`{BEFORE}`"), F.col("found")) if k else F.col("found")
-        frame = got.select(*(F.col(f"row.`{c}`") for c in docs.columns), all_found.alias(BEFORE))
+        # Each pass is written, so that its items can go before the next ones come.
+        frame = scratch.cut(got.select(*(F.col(f"row.`{c}`") for c in docs.columns), all_found.alias(BEFORE)), f"pass-{k}")
+        sent.destroy()
+        if k:
+            scratch.drop(f"pass-{k - 1}")
     return frame.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(BEFORE).alias("found"))
 
 

@@ -64,7 +64,7 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 starts AS (SELECT DISTINCT m.doc_id, m.i, m.item_id, j FROM m JOIN
   (SELECT item_id, least(10, len(words)) AS k, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS j, words AS own FROM b WHERE len(words) > 0) c
   ON c.item_id = m.item_id AND c.k = m.k JOIN w ON w.doc_id = m.doc_id AND w.words[m.i:m.i + m.k - 1] = c.own[j:j + m.k - 1]),
-grown AS (SELECT doc_id, i, item_id, (SELECT count(*) FROM range(0, 1000) r(n) WHERE n < len(b.words) - j + 1 AND n < len(w.words) - i + 1 AND w.words[i:i + n] = b.words[j:j + n]) AS n
+grown AS (SELECT doc_id, i, item_id, (SELECT count(*) FROM range(0, least(len(b.words) - j + 1, len(w.words) - i + 1)) r(n) WHERE w.words[i:i + n] = b.words[j:j + n]) AS n
   FROM starts JOIN w USING (doc_id) JOIN b USING (item_id)),
 longest AS (SELECT doc_id, max(n) AS longest FROM grown GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
