@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 
@@ -54,7 +56,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     sized = docs.select(F.struct("*").alias("row")).select("row", F.col("row.source").alias("source"), words_in(F.col("row.text")).alias("size"))
     # A run is narrow in size; the hash digit keeps one size that very many documents have apart.
     placed = sized.withColumn("width", F.floor(F.sqrt("size"))).withColumn("digit", F.substring(key, 1, 1))
-    counted = placed.groupBy("source", "width", "digit").agg(F.count("*").alias("n"), F.sum("size").alias("run_size"))
+    # A row a run, written: texts are read once for the runs and once for the places.
+    scratch = Scratch(docs.sparkSession, "mixing")
+    counted = scratch.cut(placed.groupBy("source", "width", "digit").agg(F.count("*").alias("n"), F.sum("size").alias("run_size")), "runs")
     targets = source_targets(counted.groupBy("source").agg(F.sum("run_size").alias("source_size")), weights, most)
 
     along = Window.partitionBy("source").orderBy("width", "digit")
