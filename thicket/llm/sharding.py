@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, bounded
 
 #: Rows of a bucket of the first permutation, and bytes of a part of a shard in the second one.
 BUCKET_ROWS, PART_BYTES = 250_000, 32 << 20
-LEAST_BUCKETS, LEAST_PARTS = 64, 8
+LEAST_BUCKETS = 64
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -84,7 +84,7 @@ def shuffled_shards(spark: SparkSession, docs: DataFrame, shards: int = 8, seed:
     light = scratch.cut(packed.select("h1", "h2", (F.coalesce(text, F.lit(0)) + 64).cast("long").alias("bytes")), "hashes")
     total = light.agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
     buckets = buckets or max(LEAST_BUCKETS, -(-total["rows"] // BUCKET_ROWS))
-    parts = max(LEAST_PARTS, -(-total["bytes"] // (shards * PART_BYTES)))
+    parts = max(1, -(-total["bytes"] // (shards * PART_BYTES)))
     bucket = F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket")
 
     sizes = {r["bucket"]: r["count"] for r in light.groupBy(bucket).count().collect()}  # one row a bucket
@@ -117,5 +117,5 @@ def shuffled_shards(spark: SparkSession, docs: DataFrame, shards: int = 8, seed:
     before = dealt_out(light).groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = scratch.cut(before.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before")), "before")
     order = Window.partitionBy("shard", "part").orderBy(F.xxhash64("h1", "h2", F.lit(4)), "h1", "h2")
-    placed = dealt_out(packed).withColumn("rank", F.row_number().over(order)).join(F.broadcast(before), ["shard", "part"])
+    placed = dealt_out(packed).withColumn("rank", F.row_number().over(order)).join(bounded(before), ["shard", "part"])
     return placed.select("row.*", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("rank") - 1).alias("slot"))
