@@ -194,7 +194,8 @@ def row_loss(rows: np.ndarray, kind: str):
         if kind == "logistic":
             return float((np.logaddexp(0, m) - rows * m).sum()) / n, rows.T @ (0.5 * (1 + np.tanh(m / 2)) - rows) / n
         if kind == "poisson":
-            e = np.exp(np.minimum(m, 50))
+            # Where a rate overflows the value is infinite, and a step that leads there is too long.
+            e = np.exp(m)
             return float((e - rows * m).sum()) / n, rows.T @ (e - rows) / n
         raise ValueError(f"unknown loss {kind!r}")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import matrices as M
 
@@ -56,23 +57,38 @@ def array_form(frame: DataFrame, d: int, *keys: str, name: str = "value") -> Dat
     return frame.groupBy(*keys).agg(F.array(*cells).alias("w"))
 
 
+def with_group_values(frame: DataFrame, keys: tuple[str, ...], **values: Column) -> DataFrame:
+    """frame with one value a group beside each row: partial sums and a join, so that a group may have any number of rows."""
+    of = frame.groupBy(*keys).agg(*(v.alias(name) for name, v in values.items()))
+    if not keys:
+        return frame.crossJoin(F.broadcast(of))  # one row
+    renamed = of.toDF(*(f"{k} of group" for k in keys), *values)
+    same = [frame[k].eqNullSafe(renamed[f"{k} of group"]) for k in keys]
+    return frame.join(renamed, same).drop(*(f"{k} of group" for k in keys))
+
+
 def zscore(frame: DataFrame, columns: list[str], *keys: str, ddof: int = 1) -> DataFrame:
     """Columns less their group mean, over their group deviation (n - ddof); deviation 0 counts as 1, null and NaN become 0."""
-    group = Window.partitionBy(*keys)
     spread = F.stddev_samp if ddof else F.stddev_pop
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    beside = {f"{c} {what}": make(v) for c, v in known.items() for what, make in (("mean", F.avg), ("spread", spread))}
     out = {}
-    for c in columns:
-        value = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        scale = spread(value).over(group)
-        out[c] = F.coalesce((value - F.avg(value).over(group)) / F.when(scale == 0, 1.0).otherwise(F.coalesce(scale, F.lit(1.0))), F.lit(0.0))
-    return frame.withColumns(out)
+    for c, value in known.items():
+        mean, scale = F.col(f"{c} mean"), F.col(f"{c} spread")
+        out[c] = F.coalesce((value - mean) / F.when(scale == 0, 1.0).otherwise(F.coalesce(scale, F.lit(1.0))), F.lit(0.0))
+    return with_group_values(frame, keys, **beside).withColumns(out).drop(*beside)
 
 
 def mean_imputed(frame: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     """Nulls and NaN become the column's group mean."""
-    group = Window.partitionBy(*keys)
-    values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    return frame.withColumns({c: F.coalesce(v, F.avg(v).over(group)) for c, v in values.items()})
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    beside = {f"{c} mean": F.avg(v) for c, v in known.items()}
+    return with_group_values(frame, keys, **beside).withColumns({c: F.coalesce(v, F.col(f"{c} mean")) for c, v in known.items()}).drop(*beside)
+
+
+def numeric_columns(frame: DataFrame, *but: str) -> list[str]:
+    """Names of the columns with numbers, in order."""
+    return [f.name for f in frame.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
 
 def observations(frame: DataFrame, subject: str, columns: list[str], order: list[str]) -> DataFrame:

@@ -59,8 +59,10 @@ def silhouette(points: DataFrame, d: int) -> DataFrame:
     from ..functions import matrices as M
     from .pairs import pair_rows
 
-    pairs = pair_rows(points, "id", "x", "label").select("i", "j", "label_i", "label_j", M.frobenius(M.minus(F.col("x_i"), F.col("x_j"))).alias("dist"))
-    both = pairs.select(F.col("i").alias("id"), F.col("label_i").alias("own"), F.col("label_j").alias("other"), "dist").union(pairs.select("j", "label_j", "label_i", "dist"))
+    pairs = pair_rows(points, "id", "x", "label").withColumn("dist", M.frobenius(M.minus(F.col("x_i"), F.col("x_j"))))
+    side = lambda a, b: F.struct(F.col(a).alias("id"), F.col(f"label_{a}").alias("own"), F.col(f"label_{b}").alias("other"), "dist")
+    # Each pair is met once and counts for both of its points.
+    both = pairs.select(F.explode(F.array(side("i", "j"), side("j", "i"))).alias("s")).select("s.*")
     mean = both.groupBy("id", "own", "other").agg(F.avg("dist").alias("mean"))
     per = mean.groupBy("id").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("mean"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -516,13 +516,13 @@ def tune_oracle(spark, sf):
 @query()
 def complete_linkage(spark, sf):
     apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
-    return fit.linkage(apart, TAU)
+    return fit.linkage(apart, TAU, stats(spark, sf).select("subject_id"))
 
 
 @query()
 def complete_linkage_jump(spark, sf):
     apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
-    return fit.linkage(apart, None)
+    return fit.linkage(apart, None, stats(spark, sf).select("subject_id"))
 
 
 @query()

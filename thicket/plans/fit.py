@@ -1,7 +1,7 @@
 """Fits as Spark jobs: one task a fit, tasks over groups, grids, folds and seeds.
 
 Statistics are additive rows (subject_id, m, sum, xtx); a fit sees n d^2 numbers, never the
-observations. A grouped fit holds all pairs of its subjects, so a task takes MOST_SUBJECTS at most.
+observations. A grouped fit holds all pairs of its subjects, so their number is bounded and checked.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import moments
 
-#: Subjects of one grouped fit: its pairs take n^2 d^2 / 2 numbers in one task.
-MOST_SUBJECTS = 4000
+#: Numbers that one task may hold: a grouped fit's pairs take n^2 d^2 / 2 in each of a few arrays, linkage n^2.
+MOST_NUMBERS = 64_000_000
 EDGES = "src int, dst int, weight double"
 
 
@@ -32,10 +32,21 @@ def edge_rows(w: np.ndarray, **keys) -> pd.DataFrame:
     return pd.DataFrame({**keys, "src": np.repeat(np.arange(d), d), "dst": np.tile(np.arange(d), d), "weight": w.ravel()})
 
 
-def in_one_task(stats: DataFrame) -> DataFrame:
-    n = stats.select("subject_id").limit(MOST_SUBJECTS + 1).count()
-    if n > MOST_SUBJECTS:
-        raise ValueError(f"a grouped fit takes {MOST_SUBJECTS} subjects at most; fit parts of them, or raise the limit with the memory of a task")
+def most_subjects(d: int) -> int:
+    return int((2 * MOST_NUMBERS) ** 0.5 / d)
+
+
+def bounded_subjects(subjects: DataFrame, d: int) -> int:
+    """How many there are; an error if one task can't hold their pairs."""
+    most = most_subjects(d)
+    n = subjects.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"one task takes {most} subjects of {d} variables at most; fit parts of them, or raise MOST_NUMBERS with the memory of a task")
+    return n
+
+
+def in_one_task(stats: DataFrame, d: int) -> DataFrame:
+    bounded_subjects(stats.select("subject_id"), d)
     return stats.select("subject_id", "m", "xtx").groupBy(F.lit(0).alias("all"))
 
 
@@ -47,7 +58,7 @@ def fit_groups(spark: SparkSession, stats: DataFrame, d: int, how: K.Settings =
         fit = K.fit_groups(matrices(frame, d), how)
         return pd.concat([edge_rows(fit.groups[label], subject_id=s, label=label) for s, label in zip(frame["subject_id"], fit.labels.tolist(), strict=True)])
 
-    return in_one_task(stats).applyInPandas(run, f"subject_id long, label int, {EDGES}")
+    return in_one_task(stats, d).applyInPandas(run, f"subject_id long, label int, {EDGES}")
 
 
 def fit_trace(spark: SparkSession, stats: DataFrame, d: int, how: K.Settings = K.Settings()) -> DataFrame:
@@ -57,7 +68,7 @@ def fit_trace(spark: SparkSession, stats: DataFrame, d: int, how: K.Settings = K
         fit = K.fit_groups(matrices(frame.sort_values("subject_id"), d), how)
         return pd.DataFrame(fit.trace, columns=["dc_iter", "admm_iter", "primal", "dual", "rho1", "sum_h"])
 
-    return in_one_task(stats).applyInPandas(run, "dc_iter int, admm_iter int, primal double, dual double, rho1 double, sum_h double")
+    return in_one_task(stats, d).applyInPandas(run, "dc_iter int, admm_iter int, primal double, dual double, rho1 double, sum_h double")
 
 
 def per_group(stats: DataFrame, d: int, key: str, solve: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -96,8 +107,14 @@ def notears_rows(obs: DataFrame, d: int, l1: float, kind: str, least: float = 0.
     return obs.groupBy("subject_id").applyInPandas(lambda frame: edge_rows(K.notears_rows(np.stack(frame["x"]).astype(float), l1, kind, least=least), subject_id=frame["subject_id"].iloc[0]), f"subject_id long, {EDGES}")
 
 
-def linkage(pairs: DataFrame, cut: float | None) -> DataFrame:
-    """(id, label) from pairs (i, j, dist): complete linkage cut at a height (inclusive), or at the largest jump."""
+def linkage(pairs: DataFrame, cut: float | None, ids: DataFrame) -> DataFrame:
+    """(id, label) from pairs (i, j, dist): complete linkage cut at a height (inclusive), or at the largest jump.
+
+    ids: one column, everyone to group, those without a pair too; their number is checked.
+    """
+    bounded_subjects(ids, 1)
+    kind = pairs.schema["i"].dataType.simpleString()
+    alone = ids.toDF("i").select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([frame["i"], frame["j"]]), return_inverse=True)
@@ -109,7 +126,7 @@ def linkage(pairs: DataFrame, cut: float | None) -> DataFrame:
         at = K.jump_cut(merges) if cut is None else cut
         return pd.DataFrame({"id": ids, "label": np.arange(1, n + 1) if at is None else K.flat_labels(n, merges, at)})
 
-    return pairs.groupBy(F.lit(0).alias("all")).applyInPandas(run, "id long, label int")
+    return pairs.select("i", "j", "dist").union(alone).groupBy(F.lit(0).alias("all")).applyInPandas(run, f"id {kind}, label int")
 
 
 def cross_validate(spark: SparkSession, by_fold: DataFrame, d: int, grid: DataFrame, how: K.Settings = K.Settings(), criteria: tuple[str, ...] = ("recon",)) -> DataFrame:
@@ -119,9 +136,8 @@ def cross_validate(spark: SparkSession, by_fold: DataFrame, d: int, grid: DataFr
     total less its own. Errors are those of each subject's group matrix on its held-out moments;
     undefined ones are left out of the mean.
     """
-    rows = by_fold.limit(MOST_SUBJECTS * 20 + 1).toPandas()
-    if len(rows) > MOST_SUBJECTS * 20:
-        raise ValueError("too many subjects for grouped fits")
+    bounded_subjects(by_fold.select("subject_id").distinct(), d)
+    rows = by_fold.toPandas()
     sent = spark.sparkContext.broadcast(rows)
     names = ["lambda1", "lambda2", "tau", "rho1", "rho2"]
     folds = sorted(rows["fold"].unique().tolist())
@@ -167,7 +183,8 @@ def tune_notears(spark: SparkSession, by_fold: DataFrame, d: int, alphas: list[f
     graph from all subjects; "subject_id": one a subject; "label": one a label. Statistics are
     summed by (key, fold), so a task gets k rows for a key.
     """
-    keyed = by_fold.withColumn("of", F.lit(0).cast("long") if key is None else F.col(key).cast("long"))
+    keyed = by_fold.withColumn("of", F.lit(0).cast("long") if key is None else F.col(key))
+    kind = keyed.schema["of"].dataType.simpleString()
     sums = moments.merged(keyed, d, "of", "fold")
     grid = spark.createDataFrame(list(enumerate(map(float, alphas))), "position int, alpha double")
 
@@ -180,7 +197,7 @@ def tune_notears(spark: SparkSession, by_fold: DataFrame, d: int, alphas: list[f
         return pd.DataFrame({"of": [frame["of"].iloc[0]], "alpha": [beta], "position": [frame["position"].iloc[0]], "error": [float(np.mean(errors))]})
 
     # A handful of alphas.
-    return sums.crossJoin(F.broadcast(grid)).groupBy("of", "position").applyInPandas(run, "of long, alpha double, position int, error double")
+    return sums.crossJoin(F.broadcast(grid)).groupBy("of", "position").applyInPandas(run, f"of {kind}, alpha double, position int, error double")
 
 
 def best_alpha(tuned: DataFrame, shared: bool) -> DataFrame:
@@ -197,5 +214,5 @@ def two_step(spark: SparkSession, stats: DataFrame, d: int, beta: float, tau: fl
     entries = notears_individual(stats, d, beta).select("subject_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.bround("weight", 3).alias("value"))
     own = moments.array_form(entries, d, "subject_id")
     apart = pairs.pair_rows(own, "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
-    labels = linkage(apart, tau).withColumnRenamed("id", "subject_id")
+    labels = linkage(apart, tau, own.select("subject_id")).withColumnRenamed("id", "subject_id")
     return labels, selection.consensus(own.join(labels, "subject_id"), d, None, None)
