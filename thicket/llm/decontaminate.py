@@ -25,7 +25,7 @@ WINDOW = 10
 #: Bytes of benchmark text that one pass holds in every task; more text takes more passes.
 PASS_BYTES = 16 << 20
 #: Bytes of training text in a shard (a longer text makes one of its own).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Pairs of a place and a benchmark suffix that are looked at together.
 PAIRS = 1 << 20
 
