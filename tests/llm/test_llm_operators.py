@@ -644,3 +644,60 @@ def test_sql_names_and_pipeline(spark, sf):
     assert rows.groupby("shard").size().max() - rows.groupby("shard").size().min() <= 1
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontaminate.uncontaminated(spark, out, benchmark).count() == len(rows)
+
+
+def test_near_duplicates_of_long_texts_in_many_groups(spark, monkeypatch):
+    """Sets of 1000 shingles around the least similarity, many of them unlinked, in several blocks: the same groups as all pairs give."""
+    monkeypatch.setattr(near_dedup, "CLUSTER_BYTES", 1 << 13)
+    rng = random.Random(4)
+    base = [rng.choices([f"v{k}" for k in range(5000)], k=1000) for _ in range(3)]
+    texts = []
+    for k in range(48):
+        words = list(base[k % 3])
+        for _ in range(rng.choice([20, 40, 60, 100])):
+            words[rng.randrange(1000)] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    docs = make_docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, docs, near_dedup.Banding(shingle_words=2)).collect()}
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in map(spaced, texts)]
+    want = list(range(48))
+    for a in range(48):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((want[a], want[b]))
+                want = [x if c == y else c for c in want]
+    assert len(set(want)) > 3 and got == dict(enumerate(want))
+
+
+def test_parity_maps_fold(spark):
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 2, (5, 1024)).astype(bool)
+    narrow = wide.reshape(5, 4, 256).sum(axis=1) % 2 == 1
+    assert (near_dedup.folded(np.packbits(wide, axis=1).view(np.uint64), 4) == np.packbits(narrow, axis=1).view(np.uint64)).all()
+
+
+def test_shards_of_mostly_equal_rows(spark):
+    """A third of all rows is equal, so that cuts fall among them: counts and slots stay exact."""
+    rows = [(1, "same", "en", "s", 4)] * 200 + [(k, f"text {k}", None, None, None) for k in range(400)] + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "array(map(coalesce(doc_id, 0), 1)) AS odd").repartition(3)
+    out = sharding.shuffled_shards(spark, docs, 5, buckets=7).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert {k: sorted(v) for k, v in slots.items()} == {k: list(range(n)) for k, n in enumerate(sharding.shard_sizes(603, 5))}
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+
+
+@pytest.mark.parametrize("words", ["a", "a b"])
+def test_contamination_of_repetitive_texts(spark, words):
+    """A text that repeats a word over and over against items that do: as fast, and the same as word by word."""
+    text, items = " ".join([words] * 4000), [(1, " ".join([words] * 200)), (2, "c " + " ".join([words] * 300)), (3, "c d")]
+    docs = make_docs(spark, [text, "x " + " ".join([words] * 12) + " y c d", None, "", text])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["row"]["doc_id"]: r.found for r in decontaminate.contamination(spark, docs, benchmark, ["doc_id"]).collect()}
+    n, long = len(words.split()), len(words.split()) * 300
+    assert got[0].hits == [0, 4000 * n] and got[0].items == ["1", "2"] and got[0].longest == long and got[0].longest_at == 0 and got[0].longest_item == "2"
+    assert got[4] == got[0] and got[1].items == ["1", "2", "3"] and got[1].longest == 12 * n and got[1].longest_at == 1
+    assert got[2].hits == got[3].hits == [] and got[2].longest == 0 and got[2].longest_at is None
+    assert decontaminate.contamination(spark, docs.limit(0), benchmark, ["doc_id"]).count() == 0

@@ -334,9 +334,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, how: Banding = Banding
         mapped = scratch.cut(wide_maps(of.join(texts, "doc_id"), how), "maps")
         for name, nearest in (("nearest", NEAREST), ("rest", 0)):
             new = asked_anew(units(mapped).mapInArrow(possible(how, nearest), "a long, b long"), name)
-            if new.limit(1).count():
+            if nearest and new.limit(1).count():
                 known = grouped(name)
                 mapped = mapped.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        known = known.toDF("a", "b").union(new)
         scratch.drop("maps")
     scratch.drop("texts")
 
