@@ -148,8 +148,8 @@ def lasso(s: np.ndarray, l1: float) -> np.ndarray:
     return signed(minimize(penalized(s, l1), np.zeros(2 * d * d), off_diagonal(d)), d)
 
 
-def notears(s: np.ndarray, beta: float, mask: np.ndarray | None = None, rounds: int = 100, h_tol: float = 1e-8, least: float = 0.0) -> np.ndarray:
-    """One acyclic matrix for one second moment, by the augmented Lagrangian."""
+def notears(s: np.ndarray, beta: float, mask: np.ndarray | None = None, rounds: int = 100, h_tol: float = 1e-8, least: float = 0.0, commit: bool = False) -> np.ndarray:
+    """One acyclic matrix for one second moment, by the augmented Lagrangian. commit: keep a solution though its cycles didn't shrink enough."""
     d = len(s)
     free = off_diagonal(d) if mask is None else mask
     one = np.eye(d)
@@ -174,6 +174,8 @@ def notears(s: np.ndarray, beta: float, mask: np.ndarray | None = None, rounds:
             if new <= 0.25 * h:
                 x, h = trial, new
                 break
+            if commit:
+                x = trial
             rho *= 10
         alpha += rho * h
         if h <= h_tol or rho >= 1e20:

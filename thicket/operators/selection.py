@@ -24,6 +24,12 @@ def best(table: DataFrame, params: list[str], name: str, n: int = 1) -> DataFram
     return table.orderBy(F.col(name).asc_nulls_last(), *params).limit(n)
 
 
+def ranked(table: DataFrame, params: list[str], name: str, n: int) -> DataFrame:
+    """The n combinations of least error with their place, from 1."""
+    order = Window.orderBy(F.col(name).asc_nulls_last(), *params)  # n rows
+    return best(table, params, name, n).withColumn("place", F.row_number().over(order))
+
+
 def large_groups(frame: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of groups with at least so many rows; the sizes are small and come by a semi join."""
     sizes = frame.groupBy(*keys).count().where(F.col("count") >= least)

@@ -15,7 +15,7 @@ from ..functions import matrices as M
 from ..functions import kernels as K
 from ..operators import clustering, errors, folds, graph_metrics, moments, pairs, selection
 from ..sources import simulate
-from . import fit, preclusters
+from . import experiments, fit, preclusters
 
 D = 4
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -561,6 +561,155 @@ def precluster_silhouettes(spark, sf):
     return preclusters.silhouettes(points, ["balance", "nation", "key"], list(range(2, 11)), starts=50)
 
 
+# Checks of fits that SQL can state: it has the rows, the query what holds of them.
+def optimal(spark, sf):
+    """(subject_id, optimal): whether no entry of the warm start can move to lessen its objective (to 1e-3)."""
+    rows = stats(spark, sf).select("subject_id", moments.second_moment().alias("s"))
+    found = experiments.as_matrices(fit.warm_start(stats(spark, sf), D, BETA), D, "subject_id")
+    both = rows.join(found, "subject_id")
+    slope = M.matmul(F.col("s"), M.times(M.residual(F.col("w"), D), -1.0), D)
+    apart = F.zip_with("w", "slope", lambda w, g: F.when(w > 0, F.abs(g + BETA)).when(w < 0, F.abs(g - BETA)).otherwise(F.greatest(F.abs(g) - BETA, F.lit(0.0))))
+    worst = F.array_max(M.zero_diagonal(F.col("apart"), D))
+    return both.withColumn("slope", slope).withColumn("apart", apart).select("subject_id", (worst < 1e-3).alias("optimal"))
+
+
+@query("SELECT DISTINCT l_suppkey AS subject_id, true AS optimal FROM lineitem")
+def lasso_is_optimal(spark, sf):
+    return optimal(spark, sf)
+
+
+@query("SELECT DISTINCT l_suppkey AS subject_id, true AS acyclic FROM lineitem")
+def notears_is_acyclic(spark, sf):
+    found = experiments.as_matrices(fit.notears_individual(stats(spark, sf), D, BETA), D, "subject_id")
+    return found.select("subject_id", (M.acyclicity(F.col("w"), D) < 1e-7).alias("acyclic"))
+
+
+@query("SELECT DISTINCT l_suppkey AS subject_id, true AS acyclic, true AS allowed FROM lineitem")
+def notears_constrained(spark, sf):
+    """No edge from the first variable to the second, none into the last."""
+    banned = spark.createDataFrame([(0, 1), (None, D - 1)], "src int, dst int")
+    found = experiments.as_matrices(fit.notears_constrained(stats(spark, sf), D, BETA, banned), D, "subject_id")
+    into_last = [F.get("w", F.lit(a * D + D - 1)) for a in range(D)]
+    allowed = F.get("w", F.lit(1)) == 0
+    for w in into_last:
+        allowed = allowed & (w == 0)
+    return found.select("subject_id", (M.acyclicity(F.col("w"), D) < 1e-7).alias("acyclic"), allowed.alias("allowed"))
+
+
+@query("SELECT count(DISTINCT l_suppkey)::BIGINT AS n, true AS within, true AS apart FROM lineitem")
+def linkage_is_complete(spark, sf):
+    """Members of a group are within the cut, and of any two groups some members aren't."""
+    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist")).persist()
+    found = fit.linkage(apart, TAU, stats(spark, sf).select("subject_id")).persist()
+    left, right = found.toDF("i", "label_i"), found.toDF("j", "label_j")
+    both = apart.join(left, "i").join(right, "j").select(F.least("label_i", "label_j").alias("a"), F.greatest("label_i", "label_j").alias("b"), "dist")
+    widest = both.groupBy("a", "b").agg(F.max("dist").alias("dist"))
+    held = widest.agg(F.coalesce(F.bool_and(F.when(F.col("a") == F.col("b"), F.col("dist") <= TAU)), F.lit(True)).alias("within"), F.coalesce(F.bool_and(F.when(F.col("a") != F.col("b"), F.col("dist") > TAU)), F.lit(True)).alias("apart"))
+    return found.agg(F.count("*").alias("n")).crossJoin(F.broadcast(held))  # one row
+
+
+KINDS = ("ER", "SF", "BP", "UR")
+
+
+@query(f"SELECT kind, seed::INT AS seed, true AS acyclic, true AS weighted, CASE WHEN kind = 'UR' THEN 5::BIGINT ELSE -1::BIGINT END AS edges FROM (SELECT unnest({list(KINDS)}) AS kind), range(20) r(seed)")
+def random_graphs(spark, sf):
+    """Graphs of each kind: no cycle, weights of 0.2 to 0.5 either way, and of one kind a fixed number of edges."""
+    rows = [(kind, seed, simulate.random_graph(kind, 5, 5, seed).ravel().tolist()) for kind in KINDS for seed in range(20)]
+    graphs = spark.createDataFrame(rows, "kind string, seed int, w array<double>")
+    edges = F.filter("w", lambda x: x != 0)
+    return graphs.select("kind", "seed", (M.acyclicity(F.col("w"), 5) == 0).alias("acyclic"), F.forall(edges, lambda x: F.abs(x).between(0.2, 0.5)).alias("weighted"), F.when(F.col("kind") == "UR", F.size(edges).cast("long")).otherwise(F.lit(-1).cast("long")).alias("edges"))
+
+
+@query(base_sql(f"{FOLD_SQL} SELECT subject_id, fold, count(*)::BIGINT AS n FROM f GROUP BY ALL"))
+def kfold_shuffled(spark, sf):
+    """Shuffled folds have the sizes of runs."""
+    return folds.with_shuffled_folds(spark, obs(spark, sf), FOLDS, 7).groupBy("subject_id", "fold").agg(F.count("*").alias("n"))
+
+
+@query(base_sql(f"{CV_SQL} SELECT shrink AS alpha, round(avg(round(recon_mean, 9)), 6) + 0.0 AS error FROM cv GROUP BY shrink ORDER BY avg(round(recon_mean, 9)), shrink LIMIT 1"))
+def best_alpha(spark, sf):
+    """The choice of a penalty from a table of errors."""
+    table = cv(spark, sf).select(F.col("shrink").alias("alpha"), (F.col("shrink") * 4).cast("int").alias("position"), F.col("recon_mean").alias("error"))
+    return fit.best_alpha(table, shared=True).select("alpha", r6("error").alias("error"))
+
+
+@query(base_sql(f"{MLE_SQL} SELECT round(avg(m * {D} / 2.0 * ln(t) + 0.5 * ln(m) * nz), 6) + 0.0 AS penalized_error FROM t JOIN nz USING (subject_id) WHERE t > 0 AND m >= 2"))
+def mean_penalized_mle(spark, sf):
+    return experiments.mean_error(stats(spark, sf), weights(spark, sf), D, "mle", "penalized_error").select(r6("penalized_error").alias("penalized_error"))
+
+
+@query(base_sql(f"{COV_SQL} SELECT round(avg(e), 6) + 0.0 AS cov_error FROM (SELECT subject_id, sqrt(sum((v - c) * (v - c))) AS e FROM mc JOIN s USING (subject_id, a, b) GROUP BY subject_id)"))
+def mean_covariance_error(spark, sf):
+    return experiments.mean_error(stats(spark, sf), weights(spark, sf), D, "cov", "cov_error").select(r6("cov_error").alias("cov_error"))
+
+
+@query(base_sql(f"""{PAIR_SQL}, x AS (SELECT np, nd, np < {TAU} AND (SELECT max(np) FROM nm) >= 1e-12 AS fused FROM nm)
+SELECT round(avg(fused::INT), 6) + 0.0 AS frac_fused, round(coalesce(avg((nd <= {L2 / RHO2})::INT) FILTER (WHERE fused), 0.0), 6) + 0.0 AS frac_zero, round(median(np), 6) + 0.0 AS median_previous, round(median(nd), 6) + 0.0 AS median_difference FROM x"""))
+def fusion_diagnostics(spark, sf):
+    norms = subject_pairs(spark, sf).select(M.frobenius(F.col("prev")).alias("previous"), M.frobenius(F.col("diff")).alias("difference"))
+    out = experiments.fusion_diagnostics(norms, TAU, L2 / RHO2)
+    return out.select(*(r6(c).alias(c) for c in out.columns))
+
+
+_graph_part = ", ".join(f"{m} AS graph_{m}" for m in graph_metrics.METRICS)
+_labels_part = AGREE_SQL.replace("FROM supplier JOIN nation ON s_nationkey = n_nationkey", "FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+
+
+@query(f"""SELECT * FROM (SELECT {_graph_part} FROM ({_graph_sql([0.01], 'threshold', True)})),
+({base_sql(f'''{REGION}, tv AS (SELECT label, a, b, avg(w) AS v FROM w JOIN reg USING (subject_id) GROUP BY ALL), q AS (SELECT subject_id, reg.label, tv.a, tv.b, (CASE WHEN tv.a = tv.b THEN 1.0 ELSE 0.0 END) - v AS r FROM reg JOIN tv USING (label)),
+e AS (SELECT x.subject_id, sum(x.r * s.s * y.r) AS e FROM q x JOIN s ON s.subject_id = x.subject_id AND s.a = x.a JOIN q y ON y.subject_id = x.subject_id AND y.a = s.b AND y.b = x.b GROUP BY x.subject_id) SELECT round(avg(e), 6) + 0.0 AS recon_error_true FROM e''')}),
+({ORACLES['recon_error_total'].replace('AS recon_error FROM', 'AS recon_error_est FROM')}),
+({_labels_part} SELECT round((k2 - ta * pb / (n * (n - 1) / 2)) / ((ta + pb) / 2 - ta * pb / (n * (n - 1) / 2)), 6) + 0.0 AS ari FROM n, e),
+({_labels_part} SELECT round((mi - emi) / ((ht + hp) / 2 - emi), 6) + 0.0 AS ami, round(mi / ht, 6) + 0.0 AS homogeneity, round(mi / hp, 6) + 0.0 AS completeness, round(2 * mi / (ht + hp), 6) + 0.0 AS v_measure, (SELECT count(*) FROM t)::BIGINT AS n_true, (SELECT count(*) FROM p)::BIGINT AS n_pred FROM h, m)""")
+def evaluation(spark, sf):
+    """All scores of a result in one row: regions' mean matrices as the truth, own matrices and balance classes as the result."""
+    own = labelled(spark, sf)
+    truth = own.select("subject_id", "label").join(selection.consensus(own, D, None, None), "label")
+    found = own.select("subject_id", F.floor(F.col("s_acctbal") / 2500).cast("int").alias("label"), "w")
+    out = experiments.evaluation(found, truth, stats(spark, sf), D)
+    whole = ("n_true", "n_pred")
+    return out.select(*(F.col(c) if c in whole else r6(c).alias(c) for c in out.columns))
+
+
+def simulated(spark: SparkSession, shares: tuple[float, ...], shuffled: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stats, by fold, truth) of the published simulation: 50 subjects, 300 rows, 5 variables, seed 0."""
+    drawn, labels, centers = simulate.simulate(spark, 50, 300, 5, shares, (5,) * len(shares), 1.0, 0)
+    folded = folds.with_shuffled_folds(spark, drawn, FOLDS, 0) if shuffled else folds.with_contiguous_folds(drawn, FOLDS)
+    return moments.additive(drawn, 5, "subject_id"), moments.additive(folded, 5, "subject_id", "fold"), labels.join(centers, "label")
+
+
+EXAMPLE_GRID = {"lambda1": [0.01, 0.1], "lambda2": [0.001, 0.0001], "tau": [0.4, 0.7], "rho1": [0.1], "rho2": [0.05]}
+
+
+@query()
+def experiment_scores(spark, sf):
+    """Every method on the published example, its grid of eight combinations: a row a method."""
+    own, by_fold_, truth = simulated(spark, (0.6, 0.4), True)
+    return experiments.run(spark, own, by_fold_, truth, 5, selection.param_grid(spark, EXAMPLE_GRID), [1e-4, 1e-3, 0.01, 0.1]).scores
+
+
+@query()
+def experiment_by_criterion(spark, sf):
+    """Three groups, three criteria: the threshold sweep of each criterion's refit."""
+    own, by_fold_, truth = simulated(spark, (0.4, 0.4, 0.2), False)
+    return experiments.run(spark, own, by_fold_, truth, 5, selection.param_grid(spark, EXAMPLE_GRID), [], ("dag_dc_admm",), ("recon", "mle", "cov")).sweeps
+
+
+@query()
+def cv_grid_jump_cut(spark, sf):
+    """The case study's variant: trees cut at the largest jump, group means as they are."""
+    how = K.Settings(max_dc=10, max_admm=15, cut="jump", digits=None, zero_diagonal=True, threshold_subjects=False)
+    grid = selection.param_grid(spark, {"lambda1": [0.1], "lambda2": [1e-4, 1e-3], "tau": [0.1, 3.5], "rho1": [0.1], "rho2": [0.05]})
+    return selection.cv_table(fit.cross_validate(spark, by_fold(spark, sf), D, grid, how), experiments.PARAMS, "recon_error", "recon_mean")
+
+
+@query()
+def preclusters_assigned(spark, sf):
+    """Cells with their precluster, of those with 20 cells or more."""
+    points = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("stimulus"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_custkey").cast("double").alias("key"))
+    return preclusters.preclusters(points, ["balance", "nation", "key"], ks=[2, 3, 4, 5], starts=10)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """One graph for each group of subjects: (subject_id, label, src, dst, weight)."""
     return fit.fit_groups(spark, stats(spark, sf), D, FIT)

@@ -32,6 +32,11 @@ def edge_rows(w: np.ndarray, **keys) -> pd.DataFrame:
     return pd.DataFrame({**keys, "src": np.repeat(np.arange(d), d), "dst": np.tile(np.arange(d), d), "weight": w.ravel()})
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """frame dealt out by keys to a few tasks a core. Rows are few and small but dear, so their number of tasks must not follow their bytes."""
+    return frame.repartition(4 * frame.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def most_subjects(d: int) -> int:
     return int((2 * MOST_NUMBERS) ** 0.5 / d)
 
@@ -80,7 +85,7 @@ def per_group(stats: DataFrame, d: int, key: str, solve: Callable[[np.ndarray],
             for k, s in zip(batch[key], matrices(batch, d), strict=True):
                 yield edge_rows(solve(s), **{key: k})
 
-    return stats.select(key, "m", "xtx").repartition(key).mapInPandas(run, f"{key} {kind}, {EDGES}")
+    return spread(stats.select(key, "m", "xtx"), key).mapInPandas(run, f"{key} {kind}, {EDGES}")
 
 
 def warm_start(stats: DataFrame, d: int, l1: float) -> DataFrame:
@@ -96,6 +101,27 @@ def notears_cluster(stats: DataFrame, d: int, beta: float, least: float = 0.0) -
     return per_group(moments.merged(stats, d, "label"), d, "label", lambda s: K.notears(s, beta, least=least))
 
 
+def notears_each(keyed: DataFrame, d: int, key: str) -> DataFrame:
+    """(key, src, dst, weight) from (key, m, xtx, alpha): every row has a penalty of its own."""
+    kind = dict(keyed.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, s, beta in zip(batch[key], matrices(batch, d), batch["alpha"], strict=True):
+                yield edge_rows(K.notears(s, float(beta)), **{key: k})
+
+    return spread(keyed.select(key, "m", "xtx", "alpha"), key).mapInPandas(run, f"{key} {kind}, {EDGES}")
+
+
+def notears_constrained(stats: DataFrame, d: int, beta: float, constraints: DataFrame, least: float = 0.0) -> DataFrame:
+    """(subject_id, src, dst, weight) without forbidden edges. constraints: (src, dst), of which a null stands for any variable."""
+    rows = [tuple(r) for r in constraints.select("src", "dst").distinct().limit(d * d + 2 * d + 1).collect()]
+    if any(v is not None and not 0 <= v < d for r in rows for v in r):
+        raise ValueError(f"a constraint names a variable that isn't one of {d}")
+    mask = K.edge_mask(d, [r for r in rows if None not in r], [a for a, b in rows if b is None and a is not None], [b for a, b in rows if a is None and b is not None])
+    return per_group(stats, d, "subject_id", lambda s: K.notears(s, beta, mask=mask, least=least))
+
+
 def notears_pooled(stats: DataFrame, d: int, beta: float, least: float = 0.0) -> DataFrame:
     """(subject_id, src, dst, weight): one graph from all moments, for every subject."""
     one = per_group(moments.merged(stats.withColumn("pool", F.lit(0)), d, "pool"), d, "pool", lambda s: K.notears(s, beta, least=least))
@@ -160,7 +186,8 @@ def cross_validate(spark: SparkSession, by_fold: DataFrame, d: int, grid: DataFr
                 yield pd.DataFrame(out)
 
     extra = "".join(f", {c}_error double" for c in criteria if c != "recon")
-    return jobs.repartition(*names, "fold").mapInPandas(run, f"lambda1 double, lambda2 double, tau double, rho1 double, rho2 double, fold int, recon_error double{extra}")
+    # A task for each fit.
+    return jobs.repartition(max(1, grid.count() * len(folds))).mapInPandas(run, f"lambda1 double, lambda2 double, tau double, rho1 double, rho2 double, fold int, recon_error double{extra}")
 
 
 def criterion(kind: str, w: np.ndarray, row, d: int) -> float | None:
@@ -197,7 +224,7 @@ def tune_notears(spark: SparkSession, by_fold: DataFrame, d: int, alphas: list[f
         return pd.DataFrame({"of": [frame["of"].iloc[0]], "alpha": [beta], "position": [frame["position"].iloc[0]], "error": [float(np.mean(errors))]})
 
     # A handful of alphas.
-    return sums.crossJoin(F.broadcast(grid)).groupBy("of", "position").applyInPandas(run, f"of {kind}, alpha double, position int, error double")
+    return spread(sums.crossJoin(F.broadcast(grid)), "of", "position").groupBy("of", "position").applyInPandas(run, f"of {kind}, alpha double, position int, error double")
 
 
 def best_alpha(tuned: DataFrame, shared: bool) -> DataFrame:
@@ -207,6 +234,16 @@ def best_alpha(tuned: DataFrame, shared: bool) -> DataFrame:
     return tuned.groupBy("of").agg(F.min_by(F.struct("alpha", "error"), F.struct("error", "position")).alias("best")).select("of", "best.*")
 
 
+def grouped_by_linkage(own: DataFrame, cut: float | None, d: int) -> DataFrame:
+    """(subject_id, label, w) from (subject_id, w): subjects grouped by complete linkage, each with its group's mean matrix."""
+    from ..operators import pairs, selection
+
+    apart = pairs.pair_rows(own.select("subject_id", "w"), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    labels = linkage(apart, cut, own.select("subject_id")).withColumnRenamed("id", "subject_id")
+    labelled = own.select("subject_id", "w").join(labels, "subject_id")
+    return labels.join(selection.consensus(labelled, d, None, None), "label").select("subject_id", "label", "w")
+
+
 def two_step(spark: SparkSession, stats: DataFrame, d: int, beta: float, tau: float) -> tuple[DataFrame, DataFrame]:
     """((subject_id, label), (label, w)): graphs of single subjects, rounded to 3 digits, grouped by complete linkage; group means as they are."""
     from ..operators import pairs, selection

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import selection
+from . import fit
 
 
 def components(x: np.ndarray, share: float) -> np.ndarray:
@@ -28,17 +29,23 @@ def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
 
 
 def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
-    """(stimulus, k, silhouette), a task for each stimulus and k."""
+    """(stimulus, n_cells, pca_dims, k, silhouette), a task for each stimulus and k."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         k = int(frame["k"].iloc[0])
         x = components(_matrix(frame.sort_values(features), features), share)
         labels, _ = K.kmeans(x, min(k, len(x)), starts, np.random.default_rng((seed, k)))
         score = K.silhouette(x, labels) if 1 < len(np.unique(labels)) < len(x) else 0.0
-        return pd.DataFrame({"stimulus": [frame["stimulus"].iloc[0]], "k": [k], "silhouette": [score]})
+        return pd.DataFrame({"stimulus": [frame["stimulus"].iloc[0]], "n_cells": [len(x)], "pca_dims": [x.shape[1]], "k": [k], "silhouette": [score]})
 
     spread = cells.select("stimulus", *features).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    return spread.groupBy("stimulus", "k").applyInPandas(run, "stimulus string, k int, silhouette double")
+    return fit.spread(spread, "stimulus", "k").groupBy("stimulus", "k").applyInPandas(run, "stimulus string, n_cells long, pca_dims int, k int, silhouette double")
+
+
+def selected(scores: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(stimulus, n_cells, pca_dims, k): the smallest k whose silhouette is near the best one's."""
+    chosen = selection.smallest_feasible(scores, ["stimulus"], "k", "silhouette", tolerance)
+    return scores.select("stimulus", "n_cells", "pca_dims", "k").join(chosen, ["stimulus", "k"]).select("stimulus", "n_cells", "pca_dims", "k")
 
 
 def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
@@ -52,11 +59,10 @@ def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: fl
         return frame.drop(columns="k").assign(cluster=K.kmeans(x, min(k, len(x)), starts, np.random.default_rng((seed, k)))[0].astype(np.int32))
 
     schema = joined.drop("k").withColumn("cluster", F.lit(0)).schema
-    return joined.groupBy("stimulus").applyInPandas(run, schema)
+    return fit.spread(joined, "stimulus").groupBy("stimulus").applyInPandas(run, schema)
 
 
 def preclusters(cells: DataFrame, features: list[str], ks: list[int] | None = None, tolerance: float = 0.01, starts: int = 50, least: int = 20) -> DataFrame:
     """cells (stimulus, features) with cluster, without (stimulus, cluster) groups of fewer than `least` rows."""
     scores = silhouettes(cells, features, ks or list(range(2, 11)), starts=starts)
-    chosen = selection.smallest_feasible(scores, ["stimulus"], "k", "silhouette", tolerance)
-    return selection.large_groups(assigned(cells, features, chosen, starts=starts), ["stimulus", "cluster"], least)
+    return selection.large_groups(assigned(cells, features, selected(scores, tolerance), starts=starts), ["stimulus", "cluster"], least)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +43,6 @@ def plain(value):
     return value.item() if isinstance(value, np.generic) else value
 
 
-def write_summary(path: str, summary: dict) -> None:
-    """A small summary, by the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(summary), indent=2))
-
-
-def artifacts(weights: DataFrame, digits: int = 3) -> DataFrame:
-    """Matrices rounded for storage, with their number and size beside each."""
-    d = F.sqrt(F.size("w")).cast("int")
-    return weights.withColumn("w", F.transform("w", lambda x: F.round(x, digits))).withColumn("d", d).withColumn("round_decimals", F.lit(digits))
+def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
+    """A small summary as one JSON text file, on any file system that Spark writes to."""
+    spark.createDataFrame([(json.dumps(plain(summary), indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
