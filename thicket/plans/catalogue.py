@@ -681,14 +681,12 @@ def simulated(spark: SparkSession, shares: tuple[float, ...], shuffled: bool) ->
 EXAMPLE_GRID = {"lambda1": [0.01, 0.1], "lambda2": [0.001, 0.0001], "tau": [0.4, 0.7], "rho1": [0.1], "rho2": [0.05]}
 
 
-@query()
 def experiment_scores(spark, sf):
     """Every method on the published example, its grid of eight combinations: a row a method."""
     own, by_fold_, truth = simulated(spark, (0.6, 0.4), True)
     return experiments.run(spark, own, by_fold_, truth, 5, selection.param_grid(spark, EXAMPLE_GRID), [1e-4, 1e-3, 0.01, 0.1]).scores
 
 
-@query()
 def experiment_by_criterion(spark, sf):
     """Three groups, three criteria: the threshold sweep of each criterion's refit."""
     own, by_fold_, truth = simulated(spark, (0.4, 0.4, 0.2), False)
