@@ -1,6 +1,12 @@
 """Operators against DuckDB on the small tables, and their edge cases."""
 
+import json
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +19,7 @@ from thicket.operators import clustering, folds, graph_metrics, moments, pairs,
 from thicket.plans import catalogue, fit, preclusters
 from thicket.sources import files, simulate
 
+ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
@@ -155,17 +162,24 @@ def test_files_and_preclusters(spark, tmp_path):
     assert {(r.stimulus, r["count"]) for r in got.groupBy("stimulus", "cluster").count().collect()} == {("stimulus1", 40), ("stimulus2", 40)}
     files.write_csv(spark.range(3), f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 3
-    files.write_summary(f"{tmp_path}/s/x.json", {"a": np.float64(1.5), "b": [np.arange(2), {3}]})
-    assert (tmp_path / "s/x.json").read_text().replace(" ", "").replace("\n", "") == '{"a":1.5,"b":[[0,1],[3]]}'
-
-
-def test_entry_runs_without_the_llm_parts(spark, monkeypatch):
-    import builtins
-
-    import __spark_entry__ as e
-
-    real = builtins.__import__
-    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError(name)) if name == "corpus_pipeline" else real(name, *a, **k))
-    assert "second_moment" in e.queries() and not any(q.startswith("op") for q in e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() > 0
+    files.write_summary(spark, f"{tmp_path}/summary", {"a": np.float64(1.5), "b": [np.arange(2), {3}]})
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"{tmp_path}/summary").collect())) == {"a": 1.5, "b": [[0, 1], [3]]}
+
+
+def test_perturbation_columns_go_by_name(spark, tmp_path):
+    names = list(files.COLUMNS)
+    turned = names[::-1]
+    (tmp_path / "a.csv").write_text("\ufeff" + ",".join(turned) + "\n" + ",".join(str(names.index(c) + 0.5) for c in turned) + "\n", encoding="utf-8")
+    row = files.load_perturbations(spark, [f"{tmp_path}/a.csv"]).head()
+    assert [row[c] for c in files.COLUMNS.values()] == [k + 0.5 for k in range(len(names))]
+    (tmp_path / "b.csv").write_text(",".join(names[1:]) + "\n" + ",".join(["1"] * 10) + "\n")
+    with pytest.raises(ValueError, match=names[0]):
+        files.load_perturbations(spark, [f"{tmp_path}/b.csv"])
+
+
+def test_entry_runs_without_the_llm_parts(tmp_path):
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{ROOT}/thicket", tmp_path / "thicket", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    ask = "import __spark_entry__ as e; assert 'second_moment' in e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -16,11 +16,20 @@ COLUMNS = {"praf": "Raf", "pmek": "Mek", "plcg": "Plcg", "PIP2": "PIP2", "PIP3":
 def load_perturbations(spark: SparkSession, files: list[str]) -> DataFrame:
     """(11 measures DOUBLE, stimulus): stimulus1, stimulus2, ... in the order of the files.
 
-    Columns go by position under a fixed schema, so a byte order mark in the header does no harm.
+    Columns go by the names in each file's header, in any order; other columns are left out, and a
+    missing one is a ValueError. A byte order mark and blanks around names do no harm.
     """
-    schema = ", ".join(f"`{c}` double" for c in COLUMNS)
-    frames = [spark.read.csv(f, header=True, schema=schema, enforceSchema=True).withColumn("stimulus", F.lit(f"stimulus{k}")) for k, f in enumerate(files, 1)]
-    return reduce(DataFrame.unionByName, frames).withColumnsRenamed(COLUMNS)
+
+    def one(path: str, name: str) -> DataFrame:
+        head = spark.read.text(path).head()
+        names = [c.strip().strip('"') for c in (head.value if head else "").lstrip("\ufeff").split(",")]
+        if absent := [c for c in COLUMNS if c not in names]:
+            raise ValueError(f"{path} lacks {', '.join(absent)}")
+        schema = ", ".join(f"c{k} double" for k in range(len(names)))
+        rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
+        return rows.select(*(F.col(f"c{names.index(c)}").alias(out) for c, out in COLUMNS.items()), F.lit(name).alias("stimulus"))
+
+    return reduce(DataFrame.unionByName, (one(f, f"stimulus{k}") for k, f in enumerate(files, 1)))
 
 
 def write_json(frame: DataFrame, path: str) -> None:
