@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import dealt, reassembled
 from .decontaminate import contamination, digest
 from .lattice import near_vectors
 from .licenses import license_scan
@@ -67,10 +68,18 @@ def op10_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = reassembled(spark, dealt(turns), turns.count())
+    digest = F.when(F.col("event") == "close", F.col("digest")).otherwise(F.sha2(F.concat("role", F.lit("|"), "text"), 256))
+    return out.select("event", "conv_id", "turn", F.col("batch").cast("long").alias("batch"), digest.alias("sha256"), "n_missing", "n_breaks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_edit_aware_token_counts, op2_minhash_near_dedup, op3_license_scan, op4_benchmark_decontamination, op5_compression_toxicity, op6_warc_round_trip,
         op7_lattice_near_dedup, op8_hypergeometric_sharding, op9_systematic_mixing, op10_parsed_repeats,
+        op13_turn_reassembly,
     )
 }

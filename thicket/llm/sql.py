@@ -104,6 +104,24 @@ c AS (SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.ta
 SELECT doc_id, size::BIGINT AS size, source_size, target, (least(floor(place * rate + move) - floor((place - 1) * rate + move), {MOST_COPIES}) * size)::BIGINT AS taken, source FROM c
 """
 
+OP13 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  ('0x' || substr(sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn::VARCHAR), 1, 8))::BIGINT AS h FROM conversations WHERE turn IS NOT NULL),
+f AS (SELECT conv_id AS conv, min(turn) AS first FROM c GROUP BY 1),
+a AS (SELECT conv_id, turn, role, text, h % 10 AS batch FROM c UNION ALL SELECT conv_id, turn, 'user', text, (h + 5) % 10 FROM c WHERE h % 7 < 2),
+p AS (SELECT conv_id, turn, batch, min(role || '|' || text) AS payload, arg_min(role, role || '|' || text) AS role FROM a GROUP BY ALL),
+g AS (SELECT conv_id, batch, lead(batch) OVER (PARTITION BY conv_id ORDER BY batch) AS next FROM (SELECT DISTINCT conv_id, batch FROM p)),
+e AS (SELECT conv_id AS conv, min(CASE WHEN next - batch >= 3 OR next IS NULL AND batch + 2 <= 9 THEN batch + 2 WHEN next IS NULL THEN 10 END) AS closed FROM g GROUP BY 1),
+d AS (SELECT p.*, first, closed FROM p JOIN f ON f.conv IS NOT DISTINCT FROM conv_id JOIN e ON e.conv IS NOT DISTINCT FROM conv_id),
+k AS (SELECT conv_id, turn, first, closed, min(batch) AS batch, arg_min(payload, batch) AS payload, arg_min(role, batch) AS role FROM d WHERE batch <= closed GROUP BY ALL),
+r AS (SELECT *, turn - first = row_number() OVER w - 1 AS run, max(batch) OVER w AS since, coalesce(lag(turn) OVER w = turn - 1 AND lag(role) OVER w = role, false) AS breaks FROM k
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'release' AS event, conv_id, turn, since AS batch, sha256(payload) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM r WHERE run
+UNION ALL SELECT 'reject', conv_id, turn, batch, sha256(payload), NULL, NULL FROM d WHERE batch > closed
+UNION ALL SELECT 'close', conv_id, -1, closed, sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (NOT run), '')),
+  max(turn) - first + 1 - count(*), sum(breaks::BIGINT)::BIGINT FROM r GROUP BY conv_id, first, closed
+"""
+
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": OP2,
     "op3_license_scan": OP3,
@@ -111,4 +129,5 @@ ORACLES: dict[str, str] = {
     "op6_warc_round_trip": OP6,
     "op7_lattice_near_dedup": OP7,
     "op9_systematic_mixing": OP9,
+    "op13_turn_reassembly": OP13,
 }
