@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .conversations import dealt, reassembled
 from .decontaminate import contamination, digest
+from .fingerprints import edited_rows
 from .lattice import near_vectors
 from .licenses import license_scan
 from .mixing import copies
@@ -68,6 +69,11 @@ def op10_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return edited_rows(spark, docs, docs.count())
+
+
 def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = reassembled(spark, dealt(turns), turns.count())
@@ -80,6 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_edit_aware_token_counts, op2_minhash_near_dedup, op3_license_scan, op4_benchmark_decontamination, op5_compression_toxicity, op6_warc_round_trip,
         op7_lattice_near_dedup, op8_hypergeometric_sharding, op9_systematic_mixing, op10_parsed_repeats,
-        op13_turn_reassembly,
+        op11_document_fingerprints, op13_turn_reassembly,
     )
 }
