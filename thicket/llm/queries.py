@@ -17,6 +17,7 @@ from .near_dedup import Banding, near_duplicates
 from .repeats import without_repeats
 from .shared import Scratch, table
 from .sharding import shuffled_shards
+from .spellings import spoilt, variants, word_counts
 from .token_counts import token_counts
 from .toxicity import THRESHOLD, remainder, toxicity
 from .warc import round_trip
@@ -74,6 +75,10 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_rows(spark, docs, docs.count())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(spark, word_counts(table(spark, sf_dir, "documents"), spoilt))
+
+
 def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = reassembled(spark, dealt(turns), turns.count())
@@ -86,6 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_edit_aware_token_counts, op2_minhash_near_dedup, op3_license_scan, op4_benchmark_decontamination, op5_compression_toxicity, op6_warc_round_trip,
         op7_lattice_near_dedup, op8_hypergeometric_sharding, op9_systematic_mixing, op10_parsed_repeats,
-        op11_document_fingerprints, op13_turn_reassembly,
+        op11_document_fingerprints, op12_spelling_variants, op13_turn_reassembly,
     )
 }

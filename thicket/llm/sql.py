@@ -104,6 +104,25 @@ c AS (SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.ta
 SELECT doc_id, size::BIGINT AS size, source_size, target, (least(floor(place * rate + move) - floor((place - 1) * rate + move), {MOST_COPIES}) * size)::BIGINT AS taken, source FROM c
 """
 
+OP12 = r"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS entries FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM
+  (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(x, i, 2))::BIGINT FOR i IN range(1, len(x), 2)]),
+  lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS gone FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+pairs AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.gone = b.gone AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON gone = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON gone = w.word),
+near AS (SELECT p.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS form, max(o.n) AS form_n FROM pairs p JOIN w o ON o.word = other GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN near ON near.word = w.word),
+chain(word, place, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT chain.word, f.form, k + 1 FROM chain JOIN f ON f.word = place WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN (SELECT word, arg_max(place, k) AS root FROM chain GROUP BY word) r ON r.word = f.word
+"""
+
 OP13 = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
   ('0x' || substr(sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn::VARCHAR), 1, 8))::BIGINT AS h FROM conversations WHERE turn IS NOT NULL),
@@ -129,5 +148,6 @@ ORACLES: dict[str, str] = {
     "op6_warc_round_trip": OP6,
     "op7_lattice_near_dedup": OP7,
     "op9_systematic_mixing": OP9,
+    "op12_spelling_variants": OP12,
     "op13_turn_reassembly": OP13,
 }
