@@ -99,12 +99,14 @@ def test_linkage_joins_at_the_cut_itself_and_jumps():
     assert K.jump_cut(merges[:1]) is None
 
 
-def test_published_example():
+@pytest.mark.parametrize("together", [False, True])
+def test_published_example(together):
     sim = simulate.clustered(50, 300, 5, (0.6, 0.4), (5, 5), 1.0, 0)
     s = np.array([x.T @ x / len(x) for x in sim.rows])
     true = np.mean([K.reconstruction(w, m) for w, m in zip(sim.weights, s, strict=True)])
     assert abs(true - 4.9667) < 5e-5
-    fit = K.fit_groups(s, K.Settings(l1=0.01, l2=0.001, tau=0.7, rho1=0.1, rho2=0.05, max_admm=15))
+    how = K.Settings(l1=0.01, l2=0.001, tau=0.7, rho1=0.1, rho2=0.05, max_admm=15)
+    fit = K.fit_many(s[None], np.array([0]), [how])[0] if together else K.fit_groups(s, how)
     sizes = sorted(np.bincount(fit.labels)[1:].tolist(), reverse=True)
     assert sizes == [30, 10, 8, 1, 1]
     found = np.mean([K.reconstruction(fit.groups[k], m) for k, m in zip(fit.labels, s, strict=True)])
@@ -113,6 +115,41 @@ def test_published_example():
     assert {sim.labels[k] for k in np.flatnonzero(fit.labels == largest)} == {1}
 
 
+def test_many_minima_are_those_of_each(monkeypatch):
+    """Problems solved together end where each does alone, by steps with the Hessian and without it."""
+    rng, d, n = np.random.default_rng(3), 4, 30
+    x = rng.normal(size=(n, 40, d)) @ (np.eye(d) + np.triu(rng.normal(size=(n, d, d)) * 0.4, 1))
+    s = x.swapaxes(1, 2) @ x / 40
+    l1, alpha, rho, pull = rng.choice([0.01, 0.1], n), rng.uniform(0, 2, n), rng.choice([0.1, 10.0, 1e4], n), rng.choice([0.05, 1.0], n)
+    centre, off = rng.normal(size=(n, d, d)) * 0.5, ~np.eye(d, dtype=bool)
+    start = np.where(off, np.array([K.lasso(m, 0.01) for m in s]), 0.0)
+    flat = np.array([K.halves(w) for w in start])
+    goal = K.penalized_many(s, l1, alpha, rho, pull, 3.0, centre)
+    with_hessian = K.newton_many(s, l1, alpha, rho, pull, 3.0, centre, start, off)
+    without = K.minimize_many(goal, flat, K.off_diagonal(d))
+    for k in range(n):
+        alone = K.penalized(s[k], l1[k], alpha[k], rho[k], pull[k], (3.0, centre[k]))
+        best = alone(K.minimize(alone, flat[k], K.off_diagonal(d)))[0]
+        assert alone(without[k])[0] < best + 1e-3 and alone(K.halves(with_hessian[k]))[0] < best + 1e-3
+        # Nothing can move: the gradient of each entry that isn't 0 balances l1, that of others is within it.
+        g = alone(K.halves(with_hessian[k]))[1][: d * d].reshape(d, d) - l1[k]
+        w = with_hessian[k]
+        assert np.abs(np.where(w != 0, g + l1[k] * np.sign(w), np.maximum(np.abs(g) - l1[k], 0)))[off].max() < 1e-3
+        assert (np.diag(w) == 0).all()
+
+
+def test_fits_together_are_those_of_each():
+    rng, d = np.random.default_rng(4), 3
+    graphs = [np.triu(np.full((d, d), 0.6), 1), np.tril(np.full((d, d), -0.6), -1)]
+    s = np.array([[(lambda x: x.T @ x / 300)(rng.normal(size=(300, d)) @ np.linalg.inv(np.eye(d) - graphs[k % 2])) for k in range(6)] for _ in range(2)])
+    hows = [K.Settings(l1=a, l2=0.01, tau=t, rho2=0.05, max_dc=3, max_admm=8, cut=c) for a in (0.01, 0.1) for t in (0.2, 0.6) for c in ("tau", "jump")]
+    of = np.arange(len(hows)) % 2
+    for fit, k, how in zip(K.fit_many(s, of, hows), of, hows, strict=True):
+        alone = K.fit_groups(s[k], how)
+        assert fit.labels.tolist() == alone.labels.tolist() and np.abs(fit.subjects - alone.subjects).max() < 0.03
+    assert K.fit_many(s, np.zeros(0, int), []) == []
+
+
 def test_fit_refuses_what_it_cannot_do():
     with pytest.raises(ValueError):
         K.fit_groups(np.eye(3)[None])

@@ -98,6 +98,81 @@ def _minimize(f, x, free, memory, rounds, f_tol, g_tol, curvature) -> np.ndarray
     return x
 
 
+def minimize_many(f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], x: np.ndarray, free: np.ndarray, curvature: np.ndarray | None = None, memory: int = 10, rounds: int = 15000, f_tol: float = 2.220446049250313e-09, g_tol: float = 1e-5) -> np.ndarray:
+    """minimize for many problems at once: x is (problems, coordinates), f takes points and the numbers of their problems.
+
+    Each problem goes its own way as if it were alone, and leaves when it is done; all array
+    operations are shared. Directions follow from inner products of the kept steps alone.
+    """
+    with np.errstate(all="ignore"):
+        return _minimize_many(f, x, free, curvature, memory, rounds, f_tol, g_tol)
+
+
+def _minimize_many(f, x, free, curvature, memory, rounds, f_tol, g_tol) -> np.ndarray:
+    dot = lambda a, b: np.einsum("...i,...i->...", a, b)
+    out = np.where(free, np.maximum(x, 0.0), 0.0)
+    at, x = np.arange(len(out)), out
+    value, g = f(x, at)
+    s, y = np.zeros((2, len(x), memory, x.shape[1]))  # newest first
+    kept, below = np.zeros((len(x), memory), bool), np.tri(memory, k=-1, dtype=bool)
+    done = np.zeros(len(x), bool)
+    for _ in range(rounds):
+        done |= np.abs(np.where(free, x - np.maximum(x - g, 0.0), 0.0)).max(axis=1, initial=0.0) <= g_tol
+        if done.any():
+            out[at[done]] = x[done]
+            at, x, value, g, s, y, kept = (v[~done] for v in (at, x, value, g, s, y, kept))
+            done = np.zeros(len(x), bool)
+        if not len(at):
+            return out
+        open_ = free & ~((x <= 0) & (g > 0))
+        q = np.where(open_, g, 0.0)
+        direction = q / (np.maximum(1.0, np.sqrt(dot(q, q)))[:, None] if curvature is None else curvature[at])
+        depth = int(kept.any(axis=0).sum())
+        if depth:
+            s_, y_ = s[:, :depth] * open_[:, None], y[:, :depth]
+            sy, yy = s_ @ y_.swapaxes(1, 2), (y_ * open_[:, None]) @ y_.swapaxes(1, 2)
+            sq, yq = (s_ @ q[:, :, None])[..., 0], (y_ @ q[:, :, None])[..., 0]
+            own, size = np.einsum("bii->bi", sy), np.einsum("bii->bi", yy)
+            used, rows = kept[:, :depth] & (own > 1e-12 * size), np.arange(len(at))
+            # Newest first, each coefficient follows from those before it: two triangular systems.
+            both = used[:, :, None] & used[:, None]
+            lower = np.where(both & below[:depth, :depth], sy, 0.0)
+            lower[:, range(depth), range(depth)] = np.where(used, own, 1.0)
+            a = np.linalg.solve(lower, np.where(used, sq, 0.0)[..., None])[..., 0]
+            first = used.argmax(axis=1)
+            scale = np.where(used[rows, first], own[rows, first] / np.maximum(size[rows, first], 1e-300), 1.0)
+            turned = scale[:, None] * (yq - (yy @ a[:, :, None])[..., 0])
+            b = np.linalg.solve(lower.swapaxes(1, 2), np.where(used, a * own - turned, 0.0)[..., None])[..., 0]
+            step = scale[:, None] * (q - (a[:, None] @ (y_ * open_[:, None]))[:, 0]) + (b[:, None] @ s_)[:, 0]
+            direction = np.where(used.any(axis=1)[:, None], step, direction)
+        direction = -np.where(open_, direction, 0.0)
+        direction = np.where((dot(direction, g) >= 0)[:, None], -np.where(open_, g, 0.0), direction)
+
+        size, trial, new, new_g = np.ones(len(at)), x.copy(), value.copy(), g.copy()
+        seek = np.arange(len(at))
+        for _ in range(40):
+            point = np.maximum(x[seek] + size[seek, None] * direction[seek], 0.0)
+            v, v_g = f(point, at[seek])
+            fine = np.isfinite(v) & (v <= value[seek] + 1e-4 * dot(g[seek], point - x[seek]))
+            hit = seek[fine]
+            trial[hit], new[hit], new_g[hit] = point[fine], v[fine], v_g[fine]
+            seek = seek[~fine]
+            if not len(seek):
+                break
+            size[seek] *= 0.5
+        done[seek] = True
+        ds, dy = trial - x, new_g - g
+        store = dot(ds, dy) > 1e-10 * dot(dy, dy)
+        store[seek] = False
+        for old, latest in ((s, ds), (y, dy), (kept, np.ones(len(at), bool))):
+            old[store, 1:] = old[store, :-1]
+            old[store, 0] = latest[store]
+        done |= value - new <= f_tol * np.maximum(np.maximum(np.abs(value), np.abs(new)), 1.0)
+        x, value, g = trial, new, new_g
+    out[at] = x
+    return out
+
+
 def signed(x: np.ndarray, d: int) -> np.ndarray:
     return (x[: d * d] - x[d * d :]).reshape(d, d)
 
@@ -142,6 +217,106 @@ def penalized(s: np.ndarray, l1: float, alpha: float = 0.0, rho: float = 0.0, pu
     return f
 
 
+def penalized_many(s: np.ndarray, l1: np.ndarray, alpha: np.ndarray | None = None, rho: np.ndarray | None = None, pull: np.ndarray | None = None, held: float = 0.0, centre: np.ndarray | None = None):
+    """penalized for many subjects at once: s is (problems, d, d), penalties have a number a problem, `held` is what multiplies ||W||^2."""
+    d = s.shape[-1]
+    one = np.eye(d)
+
+    def f(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.minimum(np.maximum((x[:, : d * d] - x[:, d * d :]).reshape(-1, d, d), -10), 10)
+        away = w - one
+        left = s[at] @ away
+        value, g = 0.5 * np.einsum("kij,kij->k", away, left) + l1[at] * x.sum(axis=1), left
+        if alpha is not None:
+            short = np.minimum(np.maximum(w, -5.0), 5.0)
+            e = expm(short * short)
+            h = np.minimum(np.maximum(np.einsum("kii->k", e) - d, 0.0), 1e3)
+            value = value + alpha[at] * h + 0.5 * rho[at] * h * h
+            g = g + (alpha[at] + rho[at] * h)[:, None, None] * np.minimum(np.maximum(2 * short * e.swapaxes(1, 2), -1e3), 1e3)
+        if pull is not None:
+            middle = centre[at]
+            value = value + pull[at] * np.einsum("kij,kij->k", w, 0.5 * held * w - middle)
+            g = g + pull[at, None, None] * (w * held - middle)
+        g = g.reshape(len(x), -1)
+        return value, np.concatenate([g + l1[at, None], l1[at, None] - g], axis=1)
+
+    return f
+
+
+#: Variables up to which a subject's problem is solved with its Hessian, of (d^2)^2 numbers.
+NEWTON_MOST = 12
+
+
+def newton_many(s: np.ndarray, l1: np.ndarray, alpha: np.ndarray, rho: np.ndarray, pull: np.ndarray, held: float, centre: np.ndarray, w: np.ndarray, off: np.ndarray, rounds: int = 200, f_tol: float = 2.220446049250313e-09, g_tol: float = 1e-5) -> np.ndarray:
+    """The minima that minimize_many seeks for penalized_many, from w (problems, d, d), by steps with the Hessian.
+
+    The Hessian leaves out how the acyclicity term's gradient turns, and is positive definite
+    without it. Entries keep their sign within a step, and those that would change it become 0.
+    """
+    d = s.shape[-1]
+    size, one, free = d * d, np.eye(d), off.ravel()
+    base = np.einsum("kab,ce->kacbe", s, one).reshape(-1, size, size)
+    base[:, range(size), range(size)] += pull[:, None] * held + 1e-12
+
+    def f(x: np.ndarray, at: np.ndarray):
+        m = np.minimum(np.maximum(x.reshape(-1, d, d), -10), 10)
+        away, middle = m - one, centre[at]
+        left, short = s[at] @ away, np.minimum(np.maximum(m, -5.0), 5.0)
+        e = expm(short * short)
+        h = np.minimum(np.maximum(np.einsum("kii->k", e) - d, 0.0), 1e3)
+        turned = e.swapaxes(1, 2)
+        slope = np.minimum(np.maximum(2 * short * turned, -1e3), 1e3)
+        value = 0.5 * np.einsum("kij,kij->k", away, left) + alpha[at] * h + 0.5 * rho[at] * h * h
+        value += pull[at] * np.einsum("kij,kij->k", m, 0.5 * held * m - middle) + l1[at] * np.abs(x).sum(axis=1)
+        force = alpha[at] + rho[at] * h
+        g = left + force[:, None, None] * slope + pull[at, None, None] * (m * held - middle)
+        return value, g.reshape(len(x), -1), slope.reshape(len(x), -1), (2 * force[:, None, None] * turned).reshape(len(x), -1)
+
+    with np.errstate(all="ignore"):
+        out = np.where(free, w.reshape(len(w), -1), 0.0)
+        at, x = np.arange(len(out)), out
+        value, g, slope, bend = f(x, at)
+        done = np.zeros(len(x), bool)
+        for _ in range(rounds):
+            side = np.where(x == 0, -np.sign(g) * (np.abs(g) > l1[at, None]), np.sign(x))
+            moves = free & (side != 0)
+            lean = np.where(moves, g + l1[at, None] * side, 0.0)
+            done |= np.abs(lean).max(axis=1, initial=0.0) <= g_tol
+            if done.any():
+                out[at[done]] = x[done]
+                at, x, value, g, slope, bend, side, moves, lean = (v[~done] for v in (at, x, value, g, slope, bend, side, moves, lean))
+                done = np.zeros(len(x), bool)
+            if not len(at):
+                return out.reshape(-1, d, d)
+            hessian = base[at] + (rho[at, None] * slope)[:, :, None] * slope[:, None]
+            hessian *= moves[:, :, None] & moves[:, None]
+            diagonal = hessian[:, range(size), range(size)]
+            hessian[:, range(size), range(size)] = np.where(moves, diagonal + bend, 1.0)
+            step = -np.linalg.solve(hessian, lean[..., None])[..., 0]
+            uphill = ~(np.einsum("ki,ki->k", step, lean) < 0)
+            step[uphill] = -lean[uphill]
+            part, seek = np.ones(len(at)), np.arange(len(at))
+            trial, new = x.copy(), value.copy()
+            # A step with the Hessian has its right length; where a few halvings don't help, rounding hides what is left.
+            for _ in range(8):
+                point = x[seek] + part[seek, None] * step[seek]
+                point = np.where(point * side[seek] > 0, point, 0.0)
+                v, *rest = f(point, at[seek])
+                fine = np.isfinite(v) & (v <= value[seek] + 1e-4 * np.einsum("ki,ki->k", lean[seek], point - x[seek]))
+                hit = seek[fine]
+                trial[hit], new[hit] = point[fine], v[fine]
+                g[hit], slope[hit], bend[hit] = (r[fine] for r in rest)
+                seek = seek[~fine]
+                if not len(seek):
+                    break
+                part[seek] *= 0.5
+            done[seek] = True
+            done |= value - new <= f_tol * np.maximum(np.maximum(np.abs(value), np.abs(new)), 1.0)
+            x, value = trial, new
+        out[at] = x
+        return out.reshape(-1, d, d)
+
+
 def lasso(s: np.ndarray, l1: float) -> np.ndarray:
     """A warm start: no acyclicity, zero diagonal."""
     d = len(s)
@@ -380,8 +555,15 @@ def fit_groups(s: np.ndarray, how: Settings = Settings(), start: np.ndarray | No
             break
         last = objective
 
+    return grouped(w, how, trace)
+
+
+def grouped(w: np.ndarray, how: Settings, trace: list) -> Fit:
+    """Groups of the fitted matrices by complete linkage, and each group's mean."""
+    n, d = len(w), w.shape[-1]
+    i, j = np.triu_indices(n, 1)
     dist = np.zeros((n, n))
-    dist[i, j] = dist[j, i] = norm(theta_hat)
+    dist[i, j] = dist[j, i] = np.sqrt(((w[i] - w[j]) ** 2).sum(axis=(1, 2)))
     merges = complete_linkage(dist)
     cut = how.tau if how.cut == "tau" else jump_cut(merges)
     labels = np.arange(1, n + 1) if cut is None else flat_labels(n, merges, cut)
@@ -390,10 +572,104 @@ def fit_groups(s: np.ndarray, how: Settings = Settings(), start: np.ndarray | No
     for label in range(1, labels.max() + 1):
         mean = small(w[labels == label].mean(axis=0))
         mean = mean if how.digits is None else np.round(mean, how.digits)
-        groups[label] = np.where(off, mean, 0.0) if how.zero_diagonal else mean
+        groups[label] = np.where(np.eye(d, dtype=bool), 0.0, mean) if how.zero_diagonal else mean
     return Fit(labels, small(w) if how.threshold_subjects else w, groups, trace)
 
 
+def fit_many(moments: np.ndarray, of: np.ndarray, hows: list[Settings]) -> list[Fit]:
+    """fit_groups for many settings at once: moments is (sets, n, d, d), of[f] the set that fit f (settings hows[f]) is on.
+
+    Every fit goes its own way through rounds and steps; the same subject's problems of all fits
+    that are still going are solved together. Fits of one set and l1 share their start.
+    """
+    n, d = moments.shape[1:3]
+    if n < 2:
+        raise ValueError("groups need two subjects at least")
+    if any(how.rho2 <= 0 for how in hows):
+        raise ValueError("rho2 must be positive")
+    if not (fits := len(hows)):
+        return []
+    l1, l2, tau, rho1, rho2 = (np.array([getattr(how, name) for how in hows], float) for name in ("l1", "l2", "tau", "rho1", "rho2"))
+    free, off, one = off_diagonal(d), ~np.eye(d, dtype=bool), np.eye(d)
+    starts, which = np.unique(np.stack([of, l1]), axis=1, return_inverse=True)
+    which = which.reshape(-1)
+    flat = moments[starts[0].astype(int)].reshape(-1, d, d)
+    warm = minimize_many(penalized_many(flat, np.repeat(starts[1], n)), np.zeros((len(flat), 2 * d * d)), free)
+    w = (warm[:, : d * d] - warm[:, d * d :]).reshape(-1, n, d, d)[which]
+    i, j = np.triu_indices(n, 1)
+    by_j = np.argsort(j, kind="stable")
+    first_i, first_j = np.searchsorted(i, np.arange(n - 1)), np.searchsorted(j[by_j], np.arange(1, n))
+    norm = lambda x: np.sqrt((x * x).sum(axis=(-2, -1)))
+
+    def asked(pairs: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(pairs), n, d, d))
+        out[:, : n - 1] = np.add.reduceat(pairs, first_i, axis=1)
+        out[:, 1:] -= np.add.reduceat(pairs[:, by_j], first_j, axis=1)
+        return out
+
+    theta_hat = w[:, i] - w[:, j]
+    theta, u = theta_hat.copy(), np.zeros_like(theta_hat)
+    alpha, last, h_last = np.zeros((fits, n)), np.full(fits, np.inf), np.full(fits, np.nan)
+    outer, inner = np.zeros(fits, int), np.zeros(fits, int)
+    before = norm(theta_hat)
+    fused = (before < tau[:, None]) & (before.max(axis=1) >= 1e-12)[:, None]
+    traces: list[list] = [[] for _ in hows]
+    live = np.array([f for f, how in enumerate(hows) if how.max_dc > 0 and how.max_admm > 0], int)
+    while len(live):
+        own = moments[of[live]]
+        ask, total, new = asked(theta[live] + u[live]), w[live].sum(axis=1), w[live].copy()
+        start = np.where(off, w[live], 0.0)
+        for k in range(n):
+            rest = total - w[live, k]
+            task = own[:, k], l1[live], alpha[live, k], rho1[live], rho2[live], n - 1.0, ask[:, k] + rest
+            if d <= NEWTON_MOST:
+                new[:, k] = newton_many(*task, start[:, k], off)
+                total = rest + new[:, k]
+                continue
+            goal = penalized_many(*task)
+            bend = np.tile(np.repeat(np.diagonal(own[:, k], axis1=1, axis2=2), d, axis=1) + rho2[live, None] * (n - 1), (1, 2))
+            x = start[:, k].reshape(len(live), -1)
+            x = minimize_many(goal, np.concatenate([np.maximum(x, 0.0), np.maximum(-x, 0.0)], axis=1), free, bend)
+            new[:, k] = (x[:, : d * d] - x[:, d * d :]).reshape(-1, d, d)
+            total = rest + new[:, k]
+        gap = new[:, i] - new[:, j]
+        wanted = np.nan_to_num(gap - u[live], nan=0.0, posinf=1e3, neginf=-1e3)
+        shrink = np.where(fused[live], np.maximum(1 - (l2 / rho2)[live, None] / (norm(wanted) + 1e-12), 0.0), 1.0)
+        theta_new = wanted * shrink[..., None, None]
+        primal, dual = norm(theta_new - gap).mean(axis=1), norm(rho2[live, None, None, None] * (theta_new - theta[live])).mean(axis=1)
+        theta[live] = theta_new
+        u[live] += theta_new - gap
+        short = np.clip(new, -5.0, 5.0)
+        each = np.clip(np.trace(expm(short * short), axis1=2, axis2=3) - d, 0.0, 1e3)
+        h = each.sum(axis=1)
+        h = np.where(np.isfinite(h) & (h > 0), h, 1e-8)
+        grow = (h > 0.25 * h_last[live]) & (rho1[live] < 1e16)
+        rho1[live] = np.where(grow, np.minimum(5 * rho1[live], 1e16), rho1[live])
+        alpha[live] += rho1[live, None] * each
+        going = []
+        for a, f in enumerate(live.tolist()):
+            how = hows[f]
+            traces[f].append((int(outer[f]), int(inner[f]), float(primal[a]), float(dual[a]), float(rho1[f]), float(h[a])))
+            settled = inner[f] >= 4 and primal[a] < 1e-3 and dual[a] < 1e-3 * rho2[f]
+            if not settled:  # else the matrices stay those of the sweep before
+                w[f], h_last[f] = new[a], h[a]
+                inner[f] += 1
+                if inner[f] < how.max_admm:
+                    going.append(f)
+                    continue
+            theta_hat[f] = w[f, i] - w[f, j]
+            now, a_ = norm(theta_hat[f]), w[f] - one
+            objective = 0.5 * float((a_ * (moments[of[f]] @ a_)).sum()) + l1[f] * float(np.abs(w[f]).sum()) + float(np.where(before[f] < tau[f], l2[f] * now, l2[f] * tau[f]).sum())
+            outer[f] += 1
+            if abs(objective - last[f]) < 5e-3 or outer[f] >= how.max_dc:
+                continue
+            last[f], inner[f], h_last[f], before[f], theta[f] = objective, 0, np.nan, now, theta_hat[f]
+            fused[f] = (now < tau[f]) & (now.max() >= 1e-12)
+            going.append(f)
+        live = np.array(going, int)
+    return [grouped(w[f], how, traces[f]) for f, how in enumerate(hows)]
+
+
 def reconstruction(w: np.ndarray, s: np.ndarray) -> float:
     a = np.eye(len(w)) - w
     return float((a * (s @ a)).sum())

@@ -11,7 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -60,7 +60,7 @@ def fit_groups(spark: SparkSession, stats: DataFrame, d: int, how: K.Settings =
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("subject_id")
-        fit = K.fit_groups(matrices(frame, d), how)
+        fit = K.fit_many(matrices(frame, d)[None], np.array([0]), [how])[0]
         return pd.concat([edge_rows(fit.groups[label], subject_id=s, label=label) for s, label in zip(frame["subject_id"], fit.labels.tolist(), strict=True)])
 
     return in_one_task(stats, d).applyInPandas(run, f"subject_id long, label int, {EDGES}")
@@ -70,7 +70,7 @@ def fit_trace(spark: SparkSession, stats: DataFrame, d: int, how: K.Settings = K
     """(dc_iter, admm_iter, primal, dual, rho1, sum_h): how a grouped fit converged."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fit = K.fit_groups(matrices(frame.sort_values("subject_id"), d), how)
+        fit = K.fit_many(matrices(frame.sort_values("subject_id"), d)[None], np.array([0]), [how])[0]
         return pd.DataFrame(fit.trace, columns=["dc_iter", "admm_iter", "primal", "dual", "rho1", "sum_h"])
 
     return in_one_task(stats, d).applyInPandas(run, "dc_iter int, admm_iter int, primal double, dual double, rho1 double, sum_h double")
@@ -155,39 +155,67 @@ def linkage(pairs: DataFrame, cut: float | None, ids: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "dist").union(alone).groupBy(F.lit(0).alias("all")).applyInPandas(run, f"id {kind}, label int")
 
 
+def training_sets(table: pd.DataFrame, d: int) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """(subject ids, {fold: which subjects have other rows}, {fold: their second moments without the fold}) from (subject_id, fold, m, xtx)."""
+    ids, row = np.unique(table["subject_id"], return_inverse=True)
+    names, fold = np.unique(table["fold"], return_inverse=True)
+    m, xtx = np.zeros((len(names), len(ids))), np.zeros((len(names), len(ids), d, d))
+    np.add.at(m, (fold, row), table["m"].to_numpy(float))
+    np.add.at(xtx, (fold, row), np.stack(table["xtx"].to_list()).astype(float).reshape(-1, d, d))
+    rest, rest_xtx = m.sum(axis=0) - m, xtx.sum(axis=0) - xtx
+    return ids, {f: rest[k] > 0 for k, f in enumerate(names.tolist())}, {f: rest_xtx[k][rest[k] > 0] / rest[k][rest[k] > 0][:, None, None] for k, f in enumerate(names.tolist())}
+
+
 def cross_validate(spark: SparkSession, by_fold: DataFrame, d: int, grid: DataFrame, how: K.Settings = K.Settings(), criteria: tuple[str, ...] = ("recon",)) -> DataFrame:
-    """(lambda1, lambda2, tau, rho1, rho2, fold, recon_error[, mle_error, cov_error]), a task a combination and fold.
+    """(lambda1, lambda2, tau, rho1, rho2, fold, recon_error[, mle_error, cov_error]), a row a combination and fold.
 
-    Fold statistics (n k d^2 numbers, checked) are sent once; the training moments of a fold are the
-    total less its own. Errors are those of each subject's group matrix on its held-out moments;
-    undefined ones are left out of the mean.
+    Fits are dealt out to tasks, and a task solves all of its own together. A task needs the
+    statistics of all subjects and folds (n k d^2 numbers, checked), which are shuffled to it beside
+    its fits; the training moments of a fold are the total less its own. A subject without rows
+    outside a fold isn't fitted there. Errors are those of each subject's group matrix on its
+    held-out moments; undefined ones are left out of the mean.
     """
-    bounded_subjects(by_fold.select("subject_id").distinct(), d)
-    rows = by_fold.toPandas()
-    sent = spark.sparkContext.broadcast(rows)
+    subjects = bounded_subjects(by_fold.select("subject_id").distinct(), d)
     names = ["lambda1", "lambda2", "tau", "rho1", "rho2"]
-    folds = sorted(rows["fold"].unique().tolist())
-    jobs = grid.select(*names).crossJoin(spark.createDataFrame([(f,) for f in folds], "fold int"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value.sort_values(["subject_id", "fold"])
-        for batch in batches:
-            for job in batch.itertuples(index=False):
-                test, rest = table[table["fold"] == job.fold], table[table["fold"] != job.fold]
-                train = np.stack([np.sum(g["xtx"].tolist(), axis=0).reshape(d, d) / g["m"].sum() for _, g in rest.groupby("subject_id")])
-                fit = K.fit_groups(train, replace(how, l1=job.lambda1, l2=job.lambda2, tau=job.tau, rho1=job.rho1, rho2=job.rho2))
-                out = {n: [getattr(job, n)] for n in [*names, "fold"]}
-                ws = [fit.groups[label] for label in fit.labels]
-                out["recon_error"] = [float(np.mean([K.reconstruction(w, s) for w, s in zip(ws, matrices(test, d), strict=True)]))]
-                for c in criteria:
-                    if c != "recon":
-                        values = [criterion(c, w, row, d) for w, row in zip(ws, test.itertuples(), strict=True)]
-                        out[f"{c}_error"] = [float(np.mean([v for v in values if v is not None] or [np.nan]))]
-                yield pd.DataFrame(out)
+    folds = by_fold.select(F.col("fold").cast("int").alias("fold")).distinct()
+    # A fold is one of a handful.
+    jobs = grid.select(*names).crossJoin(F.broadcast(folds))
+    fits = grid.count() * max(1, folds.count())
+    # A task's time hardly grows with its fits as long as they are some dozens.
+    parts = max(1, min(spark.sparkContext.defaultParallelism, fits))
+    # The dearest fits have the smallest penalties: neighbours in this order go to different tasks.
+    place = F.row_number().over(Window.orderBy(*names, "fold"))
+    jobs = jobs.withColumn("part", (place % parts).cast("int"))
+    beside = by_fold.select("subject_id", F.col("fold").cast("int").alias("fold"), "m", "sum", "xtx").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    together = max(1, MOST_NUMBERS // (8 * max(1, subjects * (subjects - 1) // 2) * d * d))
+
+    def run(mine: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        ids, there, train = training_sets(table, d)
+        tests = {f: {row.subject_id: row for row in rows.itertuples()} for f, rows in table.groupby("fold")}
+        out = []
+        # Folds with the same subjects are fitted together.
+        for who in {tuple(there[f]) for f in mine["fold"]}:
+            sets = [f for f in sorted(there) if tuple(there[f]) == who]
+            own = [job for job in mine.itertuples(index=False) if job.fold in sets]
+            for at in range(0, len(own), together):
+                chunk = own[at : at + together]
+                hows = [replace(how, l1=job.lambda1, l2=job.lambda2, tau=job.tau, rho1=job.rho1, rho2=job.rho2) for job in chunk]
+                found = K.fit_many(np.stack([train[f] for f in sets]), np.array([sets.index(job.fold) for job in chunk]), hows)
+                for job, fit in zip(chunk, found, strict=True):
+                    held = [(fit.groups[label], tests[job.fold][s]) for s, label in zip(ids[list(who)].tolist(), fit.labels.tolist(), strict=True) if s in tests[job.fold]]
+                    row = {n: getattr(job, n) for n in [*names, "fold"]}
+                    row["recon_error"] = float(np.mean([K.reconstruction(w, np.asarray(r.xtx, float).reshape(d, d) / r.m) for w, r in held]))
+                    for c in criteria:
+                        if c != "recon":
+                            values = [criterion(c, w, r, d) for w, r in held]
+                            row[f"{c}_error"] = float(np.mean([v for v in values if v is not None] or [np.nan]))
+                    out.append(row)
+        return pd.DataFrame(out)
 
     extra = "".join(f", {c}_error double" for c in criteria if c != "recon")
-    # A task for each fit.
-    return jobs.repartition(max(1, grid.count() * len(folds))).mapInPandas(run, f"lambda1 double, lambda2 double, tau double, rho1 double, rho2 double, fold int, recon_error double{extra}")
+    schema = f"lambda1 double, lambda2 double, tau double, rho1 double, rho2 double, fold int, recon_error double{extra}"
+    # As many partitions as parts, so that no two parts wait for each other where parts are few.
+    return jobs.repartition(parts, "part").groupBy("part").cogroup(beside.repartition(parts, "part").groupBy("part")).applyInPandas(lambda mine, table: run(mine, table) if len(mine) else pd.DataFrame(columns=[n.split()[0] for n in schema.split(", ")]), schema)
 
 
 def criterion(kind: str, w: np.ndarray, row, d: int) -> float | None:
