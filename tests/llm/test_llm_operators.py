@@ -80,7 +80,9 @@ def test_words_and_shingles_agree_with_patterns(texts):
                     assert len(seen.get(a, set()) & seen.get(b, set())) == len(sets[a] & sets[b])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("thicket.llm.components.ONE_TASK", one_task)
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
