@@ -1,45 +1,208 @@
-"""Preclusters within each stimulus: standardised, reduced to most of the variance, k-means with k by silhouette."""
+"""Preclusters within each stimulus: standardised, reduced to most of the variance, k-means with k by silhouette.
+
+A stimulus may have any number of rows: components come from its moments, rounds of k-means are
+sums over all rows, and silhouettes take blocks of rows against all others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
-from ..operators import selection
-from . import fit
-
-
-def components(x: np.ndarray, share: float) -> np.ndarray:
-    """Scores on the first principal components whose share of the variance exceeds `share`; missing values are column means."""
-    x = np.where(np.isfinite(x), x, np.nan)
-    mean = np.nan_to_num(np.nanmean(x, axis=0))
-    x = np.where(np.isnan(x), mean, x)
-    spread = x.std(axis=0)
-    z = (x - x.mean(axis=0)) / np.where(spread == 0, 1.0, spread)
-    u, s, _ = np.linalg.svd(z, full_matrices=False)
-    part = np.cumsum(s**2) / max(float((s**2).sum()), 1e-300)
-    return (u * s)[:, : int(np.searchsorted(part, share, "right")) + 1]
+from ..operators import moments, selection
 
 
 def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
     return frame[features].to_numpy(float)
 
 
-def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
-    """(stimulus, n_cells, pca_dims, k, silhouette), a task for each stimulus and k."""
+#: Rows of a stimulus that starting centres are drawn from, about; rows of a block whose silhouettes one task works out.
+SEED_ROWS, BLOCK_ROWS = 20_000, 2_000
+ROUNDS = 300
+
+
+def points(cells: DataFrame, features: list[str], share: float = 0.8) -> DataFrame:
+    """cells with n_cells, pca_dims and point: scores on the first principal components whose share of the variance exceeds `share`.
+
+    Within a stimulus, missing and infinite values are column means and columns are standardised.
+    Components are eigenvectors of the moments, d x d for a stimulus, and are applied as expressions.
+    """
+    d = len(features)
+    inner = [f"feature {k}" for k in range(d)]
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    clean = cells.withColumns({name: F.nanvl(finite(c), F.lit(None).cast("double")) for name, c in zip(inner, features, strict=True)})
+    z = moments.zscore(moments.mean_imputed(clean, inner, "stimulus"), inner, "stimulus", ddof=0).withColumn("x", F.array(*inner)).drop(*inner)
+
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for stimulus, m, xtx in zip(batch["stimulus"], batch["m"], batch["xtx"], strict=True):
+                values, vectors = np.linalg.eigh(np.asarray(xtx, float).reshape(d, d))
+                values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+                dims = min(d, int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), share, "right")) + 1)
+                vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(d)])
+                yield pd.DataFrame({"of": [stimulus], "n_cells": [m], "pca_dims": [dims], "axes": [vectors[:, :dims].T.ravel()]})
+
+    kind = z.schema["stimulus"].dataType.simpleString()
+    found = moments.additive(z, d, "stimulus").select("stimulus", "m", "xtx").mapInPandas(axes, f"of {kind}, n_cells long, pca_dims int, axes array<double>")
+    score = F.transform(F.sequence(F.lit(0), F.col("pca_dims") - 1), lambda c: sum((F.get("x", F.lit(k)) * F.get("axes", c * d + k) for k in range(d)), F.lit(0.0)))
+    return z.join(found, z["stimulus"].eqNullSafe(found["of"])).withColumn("point", score).drop("of", "x", "axes")
+
+
+Centres = dict[tuple, np.ndarray]
+
+
+def seeds(placed: DataFrame, ks: list[int], starts: int, seed: int) -> Centres:
+    """{(stimulus, k): centres (starts, k, dims)}, drawn with weight by distance from a bounded share of each stimulus's rows.
+
+    A stimulus of up to SEED_ROWS rows is drawn from as a whole.
+    """
+    chosen = placed.where(F.pmod(F.xxhash64("point"), F.lit(1 << 40)) < F.lit(float(SEED_ROWS)) / F.col("n_cells") * (1 << 40))
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(sorted(map(tuple, frame["point"])))
+        out = []
+        for k in ks:
+            k, rng = min(k, int(frame["n_cells"].iloc[0])), np.random.default_rng((seed, k))
+            for start in range(starts):
+                at = [rng.integers(len(x))]
+                gap = ((x - x[at[0]]) ** 2).sum(axis=1)
+                while len(at) < k:
+                    at.append(rng.choice(len(x), p=gap / gap.sum()) if gap.sum() else rng.integers(len(x)))
+                    gap = np.minimum(gap, ((x - x[at[-1]]) ** 2).sum(axis=1))
+                out.append((frame["stimulus"].iloc[0], k, start, x[at].ravel()))
+        return pd.DataFrame(out, columns=["stimulus", "k", "start", "centres"]).drop_duplicates(["k", "start"])
+
+    kind = placed.schema["stimulus"].dataType.simpleString()
+    drawn = chosen.select("stimulus", "n_cells", "point").groupBy("stimulus").applyInPandas(draw, f"stimulus {kind}, k int, start int, centres array<double>").orderBy("stimulus", "k", "start").toPandas()
+    return {key: np.stack(rows["centres"].to_list()).reshape(len(rows), key[1], -1) for key, rows in drawn.groupby(["stimulus", "k"], dropna=False)}
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of each start's centres (starts, k, dims) for each row, and the squared distance to it."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    dist = ((x * x).sum(axis=1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)).reshape(len(x), *centres.shape[:2])
+    return dist.argmin(axis=2), np.maximum(dist.min(axis=2), 0.0)
+
+
+def lloyd(placed: DataFrame, centres: Centres) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """{(stimulus, k): (counts, sums, inertia by start)} of one pass over all rows: sums in each task, then one row a task and run together.
+
+    What comes back are k (dims + 1) numbers a run, however many rows there are.
+    """
+    kind = placed.schema["stimulus"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            for stimulus, rows in batch.groupby("stimulus", dropna=False):
+                x = np.stack(rows["point"].to_list())
+                for key in [key for key in centres if key[0] == stimulus or (pd.isna(key[0]) and pd.isna(stimulus))]:
+                    c = centres[key]
+                    labels, gap = nearest(x, c)
+                    slot = (labels + np.arange(c.shape[0]) * c.shape[1]).ravel()
+                    size = c.shape[0] * c.shape[1]
+                    new = [np.bincount(slot, minlength=size), np.stack([np.bincount(slot, np.repeat(x[:, q], c.shape[0]), size) for q in range(x.shape[1])], axis=1), gap.sum(axis=0)]
+                    held[key] = new if key not in held else [a + b for a, b in zip(held[key], new, strict=True)]
+        if held:
+            yield pd.DataFrame([(s, k, np.concatenate([v.ravel() for v in values]).astype(float)) for (s, k), values in held.items()], columns=["stimulus", "k", "numbers"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[:1].assign(numbers=[np.sum(frame["numbers"].to_list(), axis=0)])
+
+    schema = f"stimulus {kind}, k int, numbers array<double>"
+    got = placed.select("stimulus", "point").mapInPandas(run, schema).groupBy("stimulus", "k").applyInPandas(add, schema).toPandas()
+    out = {}
+    for key, numbers in zip(zip(got["stimulus"], got["k"], strict=True), got["numbers"], strict=True):
+        starts, k, dims = centres[key].shape
+        counts, sums, inertia = np.split(np.asarray(numbers), [starts * k, starts * k * (dims + 1)])
+        out[key] = counts.reshape(starts, k), sums.reshape(starts, k, dims), inertia
+    return out
+
+
+def kmeans(placed: DataFrame, ks: list[int], starts: int = 50, seed: int = 42) -> dict[tuple, tuple[np.ndarray, float]]:
+    """{(stimulus, k): (centres, inertia)} of the best start. Each round moves all starts of all k that still move, in one pass over the rows."""
+    going, best = seeds(placed, ks, starts, seed), {}
+    for turn in range(ROUNDS + 1):
+        found, then = lloyd(placed, going), {}
+        for key, (counts, sums, inertia) in found.items():
+            old = going[key]
+            new = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], old)
+            still = (np.abs(new - old) > 1e-8 + 1e-5 * np.abs(old)).any(axis=(1, 2)) & (turn < ROUNDS)
+            for start in np.flatnonzero(~still):
+                if key not in best or inertia[start] < best[key][1] - 1e-12:
+                    best[key] = old[start], float(inertia[start])
+            if still.any():
+                then[key] = new[still]
+        if not then:
+            return best
+        going = then
+    return best
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["k"].iloc[0])
-        x = components(_matrix(frame.sort_values(features), features), share)
-        labels, _ = K.kmeans(x, min(k, len(x)), starts, np.random.default_rng((seed, k)))
-        score = K.silhouette(x, labels) if 1 < len(np.unique(labels)) < len(x) else 0.0
-        return pd.DataFrame({"stimulus": [frame["stimulus"].iloc[0]], "n_cells": [len(x)], "pca_dims": [x.shape[1]], "k": [k], "silhouette": [score]})
 
-    spread = cells.select("stimulus", *features).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    return fit.spread(spread, "stimulus", "k").groupBy("stimulus", "k").applyInPandas(run, "stimulus string, n_cells long, pca_dims int, k int, silhouette double")
+def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
+    """(stimulus, n_cells, pca_dims, k, silhouette): exact, from all pairs of a stimulus's rows, block against all.
+
+    A task holds one block of rows and lets the others pass; distances are taken once for all k.
+    """
+    placed = points(cells, features, share).select("stimulus", "n_cells", "pca_dims", "point").persist()
+    best = kmeans(placed, sorted(set(ks)), starts, seed)
+    kind = placed.schema["stimulus"].dataType.simpleString()
+    by_stimulus: dict = {}
+    for (stimulus, k), (centres, _) in best.items():
+        by_stimulus.setdefault(None if pd.isna(stimulus) else stimulus, []).append((k, centres))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, mine, block, sums, sizes = None, [], None, None, None
+
+        def out() -> pd.DataFrame:
+            rows = []
+            for q, (k, centres) in enumerate(by_stimulus[at[0]]):
+                label, n = nearest(block, centres[None])[0][:, 0], sizes[q]
+                own = np.arange(len(block)), label
+                a, b = sums[q][own] / np.maximum(n[label] - 1, 1), sums[q] / np.maximum(n, 1)
+                b[:, n == 0] = np.inf
+                b[own] = np.inf
+                b = b.min(axis=1)
+                fit = (n > 0).sum()
+                s = np.where((n[label] > 1) & (1 < fit < n.sum()), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+                rows.append((at[0], len(centres), float(s.sum()), len(s)))
+            return pd.DataFrame(rows, columns=["stimulus", "k", "total", "n"])
+
+        for batch in batches:
+            batch["stimulus"] = batch["stimulus"].astype(object).where(batch["stimulus"].notna(), None)
+            for key, rows in batch.groupby(["stimulus", "block", "passing"], sort=False, dropna=False):
+                unit, x = (None if pd.isna(key[0]) else key[0], key[1]), np.stack(rows["point"].to_list())
+                if unit != at:
+                    if block is not None:
+                        yield out()
+                    at, mine, block = unit, [], None
+                if not key[2]:
+                    mine.append(x)
+                    continue
+                of = by_stimulus[unit[0]]
+                if block is None:
+                    block = np.concatenate(mine)
+                    sums, sizes = [np.zeros((len(block), len(c))) for _, c in of], [np.zeros(len(c)) for _, c in of]
+                for part in np.array_split(x, -(-len(x) * len(block) // (1 << 20))):
+                    dist = np.sqrt(((block[:, None] - part) ** 2).sum(axis=2))
+                    for q, (_, c) in enumerate(of):
+                        one = np.eye(len(c))[nearest(part, c[None])[0][:, 0]]
+                        sums[q] += dist @ one
+                        sizes[q] += one.sum(axis=0)
+        if block is not None:
+            yield out()
+
+    blocks = F.ceil(F.col("n_cells") / BLOCK_ROWS).cast("int")
+    mine = placed.select("stimulus", F.pmod(F.xxhash64("point", F.monotonically_increasing_id()), blocks).cast("int").alias("block"), F.lit(False).alias("passing"), "point")
+    others = placed.select("stimulus", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("passing"), "point")
+    dealt = mine.union(others).repartition("stimulus", "block").sortWithinPartitions("stimulus", "block", "passing")
+    parts = dealt.mapInPandas(scored, f"stimulus {kind}, k int, total double, n long").groupBy("stimulus", "k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    shapes = placed.select(F.col("stimulus").alias("of"), "n_cells", "pca_dims").distinct()
+    return parts.join(shapes, parts["stimulus"].eqNullSafe(shapes["of"])).select("stimulus", "n_cells", "pca_dims", "k", "silhouette")
 
 
 def selected(scores: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -49,17 +212,18 @@ def selected(scores: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 
 def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
-    """cells with cluster (from 0), for each stimulus's chosen k."""
-    joined = cells.join(chosen.select("stimulus", "k"), "stimulus")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(features)
-        k = int(frame["k"].iloc[0])
-        x = components(_matrix(frame, features), share)
-        return frame.drop(columns="k").assign(cluster=K.kmeans(x, min(k, len(x)), starts, np.random.default_rng((seed, k)))[0].astype(np.int32))
-
-    schema = joined.drop("k").withColumn("cluster", F.lit(0)).schema
-    return fit.spread(joined, "stimulus").groupBy("stimulus").applyInPandas(run, schema)
+    """cells with cluster (from 0), for each stimulus's chosen k. Stimuli that aren't in `chosen` are left out."""
+    wanted = [(r.stimulus, r.k) for r in chosen.select("stimulus", "k").collect()]  # a row a stimulus
+    if not wanted:
+        return cells.limit(0).withColumn("cluster", F.lit(0))
+    placed = points(cells, features, share).persist()
+    kind = placed.schema["stimulus"].dataType.simpleString()
+    best = kmeans(placed, sorted({k for _, k in wanted}), starts, seed)
+    rows = [(s, c.tolist()) for (s, k), (c, _) in best.items() if (s, k) in wanted]
+    centres = cells.sparkSession.createDataFrame(rows, f"of {kind}, centres array<array<double>>")
+    gaps = F.transform("centres", lambda c: F.aggregate(F.zip_with("point", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v))
+    joined = placed.join(centres, placed["stimulus"] == centres["of"]).withColumn("gaps", gaps)
+    return joined.withColumn("cluster", (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int")).select(*cells.columns, "cluster")
 
 
 def preclusters(cells: DataFrame, features: list[str], ks: list[int] | None = None, tolerance: float = 0.01, starts: int = 50, least: int = 20) -> DataFrame:
