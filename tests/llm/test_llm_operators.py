@@ -611,6 +611,14 @@ def test_parse_and_dictionary(texts, length):
             assert [x.tolist() for x in repeats.repeated_in_many(own, at, length)] == want
 
 
+def test_repeats_in_very_many_equal_rows(spark):
+    """Rows that can't be told apart tell their spans once, not once a row for each row."""
+    text = " ".join(f"word{k}" for k in range(120))
+    rows = [(None, text)] * 2000 + [(1, "alone " + "".join(chr(97 + k * k % 26) for k in range(300)))]
+    got = repeats.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 2001 and all(bytes(r.kept) == b"" and list(r.spans) == [0, len(text)] for r in got if r.doc_id is None)
+
+
 @pytest.mark.parametrize("piece", [300, 401])
 def test_repeats_across_pieces(spark, monkeypatch, piece):
     """Passages that lie across the edges of pieces are found as anywhere else."""

@@ -339,7 +339,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     texts = keyed(docs)
     whole = told.where("repeated").select("key", "first", "last")
     part = repeated_strings(told.where("open").select("key", "trigger", "first", "last"), texts, length, gram)
-    spans = whole.union(part).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("all"))
+    # Equal rows have one key and tell the same spans, each of which counts once.
+    spans = whole.union(part).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("all"))
     spans = spans.select("key", F.transform("all", lambda x: x["first"]).alias("first"), F.transform("all", lambda x: x["last"]).alias("last"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
