@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+from .order import quantile
+
 
 def param_grid(spark: SparkSession, values: dict[str, list[float]]) -> DataFrame:
     """The product of named value lists, a row a combination; columns are named, so their order carries no meaning."""
@@ -49,12 +52,29 @@ def smallest_feasible(frame: DataFrame, keys: list[str], k: str, score: str, tol
 def largest_jump(heights: DataFrame, height: str = "height") -> DataFrame:
     """One row (cut): the middle of the largest step between sorted heights; first and last steps only if there is no other.
 
-    heights: the merges of one dendrogram.
+    heights: the merges of one dendrogram; nulls don't count, and fewer than two give no row. Equal
+    heights are a step of 0. Distinct values are dealt out by ranges; a range takes the value before
+    it from the list of ranges. Of equal steps the lowest is taken.
     """
-    order = Window.orderBy(height)
-    steps = heights.select(F.col(height).alias("h"), F.lag(height).over(order).alias("before"), F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy()).alias("n")).where("before is not null")
-    edge = ((F.col("r") == 2) | (F.col("r") == F.col("n"))) & (F.col("n") > 3)
-    return steps.select(((F.col("h") + F.col("before")) / 2).alias("cut"), (F.col("h") - F.col("before")).alias("step"), edge.alias("edge"), "r").orderBy("edge", F.desc("step"), "r").limit(1).select("cut")
+    spark = heights.sparkSession
+    values = written(heights.where(F.col(height).isNotNull()).groupBy(F.col(height).alias("h")).agg(F.count("*").alias("c")), "heights")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = sorted(set(values.approxQuantile("h", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("h"))) if starts else F.lit(0)
+    dealt = values.withColumn("part", part)
+    # A row a range, and one of them all.
+    each = dealt.groupBy("part").agg(F.max("h").alias("last"), F.sum("c").alias("rows"), F.min_by("c", "h").alias("c_low"), F.min("h").alias("low"), F.max_by("c", "h").alias("c_high"))
+    whole = each.agg(F.collect_list(F.struct("part", "last")).alias("ranges"), F.sum("rows").alias("n"), F.min("low").alias("low"), F.min_by("c_low", "low").alias("c_low"), F.max("last").alias("high"), F.max_by("c_high", "last").alias("c_high"))
+    before_range = F.array_max(F.transform(F.filter("ranges", lambda r: r["part"] < F.col("part")), lambda r: r["last"]))
+    rows = dealt.withColumn("before", F.lag("h").over(Window.partitionBy("part").orderBy("h"))).crossJoin(F.broadcast(whole)).withColumn("before", F.coalesce("before", before_range))
+
+    h, c, n, before = F.col("h"), F.col("c"), F.col("n"), F.col("before")
+    # The second place of all is the first step, the last place the last one.
+    at_edge = ((before == F.col("low")) & (F.col("c_low") == 1)) | ((h == F.col("high")) & (F.col("c_high") == 1))
+    up = rows.where("before is not null").select(((h + before) / 2).alias("cut"), (h - before).alias("step"), (at_edge & (n > 3)).alias("edge"))
+    flat_edge = F.when((h == F.col("low")) & (h == F.col("high")), F.lit(False)).otherwise(((h == F.col("low")) | (h == F.col("high"))) & (c < 3))
+    flat = rows.where("c > 1").select(h.alias("cut"), F.lit(0.0).alias("step"), (flat_edge & (n > 3)).alias("edge"))
+    return up.unionByName(flat).orderBy("edge", F.desc("step"), "cut").limit(1).select("cut")
 
 
 def silhouette(points: DataFrame, d: int) -> DataFrame:
@@ -93,6 +113,7 @@ def close_pairs(pairs: DataFrame, most: float) -> DataFrame:
 
 def heat_cells(weights: DataFrame, least: float, floor: float = 0.05) -> DataFrame:
     """Cells of the adjacency plot (keys, a, b, value) with absolute value above `least`, and the colour limit of all of them."""
-    shown = weights.where(F.abs("value") > least)
-    limit = shown.agg(F.greatest(F.least(F.max(F.abs("value")), F.percentile(F.abs("value"), F.lit(0.95))), F.lit(floor)).alias("limit"))
-    return shown.crossJoin(limit)
+    shown = written(weights.where(F.abs("value") > least), "cells")
+    # No quantile is above the largest value, so the limit needs no look at that.
+    limit = quantile(shown, F.abs("value"), 0.95)
+    return shown.withColumn("limit", F.lit(floor if limit is None else max(limit, floor)))

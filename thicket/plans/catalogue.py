@@ -15,6 +15,7 @@ from ..functions import matrices as M
 from ..functions import kernels as K
 from ..operators import clustering, errors, folds, graph_metrics, moments, pairs, selection
 from ..sources import simulate
+from ..sources.written import written
 from . import experiments, fit, preclusters
 
 D = 4
@@ -210,9 +211,14 @@ def pair_distance(spark, sf):
     return pairs.pair_rows(vectors, "vec_id", "x").select("i", "j", r6(pairs.distance(F.col("x_i"), F.col("x_j"))).alias("dist"))
 
 
-def subject_pairs(spark, sf):
-    """(i, j, prev, u, diff): W_i - W_j, a dual of a tenth of S_i - S_j, and W_i - W_j - u."""
-    rows = pairs.pair_rows(weights(spark, sf), "subject_id", "w", "s")
+def written_weights(spark, sf):
+    """weights, written: both sides of the pairs read them, and the pairs' blocks count them."""
+    return written(weights(spark, sf), "weights")
+
+
+def subject_pairs(known):
+    """(i, j, prev, u, diff) of written weights: W_i - W_j, a dual of a tenth of S_i - S_j, and W_i - W_j - u."""
+    rows = pairs.pair_rows(known, "subject_id", "w", "s")
     rows = rows.select("i", "j", M.minus(F.col("w_i"), F.col("w_j")).alias("prev"), M.times(M.minus(F.col("s_i"), F.col("s_j")), 0.1).alias("u"))
     return rows.withColumn("diff", M.minus(F.col("prev"), F.col("u")))
 
@@ -225,13 +231,14 @@ THETA_SQL = f"""{PAIR_SQL}, th AS (SELECT i, j, a, b, prev, u, np, (CASE WHEN np
 
 @query(base_sql(f"{PAIR_SQL} SELECT {_out(f'i;j;a;b;greatest(0.0, 1 - 0.1 / (nd + 1e-12)) * (prev - u):value')} FROM pr JOIN nm USING (i, j)"))
 def soft_threshold(spark, sf):
-    return cells(subject_pairs(spark, sf).withColumn("t", M.soft_threshold(F.col("diff"), 0.1)), "t", "i", "j")
+    return cells(subject_pairs(written_weights(spark, sf)).withColumn("t", M.soft_threshold(F.col("diff"), 0.1)), "t", "i", "j")
 
 
 def thetas(spark, sf):
-    rows = subject_pairs(spark, sf).withColumn("norm", M.frobenius(F.col("prev")))
-    largest = rows.agg(F.max("norm").alias("largest"))
-    return rows.crossJoin(F.broadcast(largest)).withColumn("theta", pairs.theta(F.col("diff"), F.col("norm"), F.col("largest"), L2, RHO2, TAU))  # one row
+    known = written_weights(spark, sf)
+    rows = subject_pairs(known).withColumn("norm", M.frobenius(F.col("prev")))
+    largest = F.lit(1.0 if pairs.any_apart(known, "subject_id", "w", D * D) else 0.0)  # theta asks for its side of 1e-12
+    return rows.withColumn("theta", pairs.theta(F.col("diff"), F.col("norm"), largest, L2, RHO2, TAU))
 
 
 @query(base_sql(f"{THETA_SQL} SELECT {_out('i;j;a;b;theta:value')} FROM th"))
@@ -252,9 +259,10 @@ def primal_dual_residual(spark, sf):
 
 @query(base_sql(f"{RECON_SQL}, {PAIR_SQL} SELECT round((SELECT sum(e / 2) FROM rec) + (SELECT {L1} * sum(abs(w)) FROM w) + (SELECT sum(CASE WHEN np < {TAU} THEN {L2} * np ELSE {L2 * TAU} END) FROM nm), 6) + 0.0 AS objective"))
 def dc_objective(spark, sf):
-    own = weights(spark, sf).agg(F.sum(errors.sem_loss(F.col("w"), F.col("s"), D) + F.aggregate("w", F.lit(0.0), lambda acc, x: acc + F.abs(x)) * L1).alias("own"))
+    known = written_weights(spark, sf)
+    own = known.agg(F.sum(errors.sem_loss(F.col("w"), F.col("s"), D) + F.aggregate("w", F.lit(0.0), lambda acc, x: acc + F.abs(x)) * L1).alias("own"))
     norm = M.frobenius(F.col("prev"))
-    fused = subject_pairs(spark, sf).agg(F.coalesce(F.sum(pairs.pair_penalty(norm, norm, L2, TAU)), F.lit(0.0)).alias("fused"))
+    fused = subject_pairs(known).agg(F.coalesce(F.sum(pairs.pair_penalty(norm, norm, L2, TAU)), F.lit(0.0)).alias("fused"))
     return own.crossJoin(fused).select(r6(F.col("own") + F.col("fused")).alias("objective"))
 
 
@@ -294,7 +302,7 @@ def zero_diag(spark, sf):
 
 @query(base_sql(f"{REGION}, {PAIR_SQL} SELECT {_out('i;j;np:dist')} FROM nm JOIN reg x ON x.subject_id = i JOIN reg y ON y.subject_id = j AND x.label = y.label WHERE np <= 0.12"))
 def plot_edges(spark, sf):
-    rows = pairs.pair_rows(labelled(spark, sf), "subject_id", "w", "label")
+    rows = pairs.pair_rows(written(labelled(spark, sf), "labelled"), "subject_id", "w", "label")
     return selection.close_pairs(rows.withColumn("dist", pairs.distance(F.col("w_i"), F.col("w_j"))), 0.12).select("i", "j", r6("dist").alias("dist"))
 
 
@@ -515,13 +523,13 @@ def tune_oracle(spark, sf):
 
 @query()
 def complete_linkage(spark, sf):
-    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
     return fit.linkage(apart, TAU, stats(spark, sf).select("subject_id"))
 
 
 @query()
 def complete_linkage_jump(spark, sf):
-    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
     return fit.linkage(apart, None, stats(spark, sf).select("subject_id"))
 
 
@@ -599,7 +607,7 @@ def notears_constrained(spark, sf):
 @query("SELECT count(DISTINCT l_suppkey)::BIGINT AS n, true AS within, true AS apart FROM lineitem")
 def linkage_is_complete(spark, sf):
     """Members of a group are within the cut, and of any two groups some members aren't."""
-    apart = pairs.pair_rows(weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist")).persist()
+    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist")).persist()
     found = fit.linkage(apart, TAU, stats(spark, sf).select("subject_id")).persist()
     left, right = found.toDF("i", "label_i"), found.toDF("j", "label_j")
     both = apart.join(left, "i").join(right, "j").select(F.least("label_i", "label_j").alias("a"), F.greatest("label_i", "label_j").alias("b"), "dist")
@@ -646,7 +654,7 @@ def mean_covariance_error(spark, sf):
 @query(base_sql(f"""{PAIR_SQL}, x AS (SELECT np, nd, np < {TAU} AND (SELECT max(np) FROM nm) >= 1e-12 AS fused FROM nm)
 SELECT round(avg(fused::INT), 6) + 0.0 AS frac_fused, round(coalesce(avg((nd <= {L2 / RHO2})::INT) FILTER (WHERE fused), 0.0), 6) + 0.0 AS frac_zero, round(median(np), 6) + 0.0 AS median_previous, round(median(nd), 6) + 0.0 AS median_difference FROM x"""))
 def fusion_diagnostics(spark, sf):
-    norms = subject_pairs(spark, sf).select(M.frobenius(F.col("prev")).alias("previous"), M.frobenius(F.col("diff")).alias("difference"))
+    norms = subject_pairs(written_weights(spark, sf)).select(M.frobenius(F.col("prev")).alias("previous"), M.frobenius(F.col("diff")).alias("difference"))
     out = experiments.fusion_diagnostics(norms, TAU, L2 / RHO2)
     return out.select(*(r6(c).alias(c) for c in out.columns))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import matrices as M
 from ..operators import clustering, errors, graph_metrics, moments, selection
+from ..operators.order import quantile
+from ..sources.written import written
 from . import fit
 
 PARAMS = ["lambda1", "lambda2", "tau", "rho1", "rho2"]
@@ -149,11 +151,13 @@ def fusion_diagnostics(pair_norms: DataFrame, tau: float, gamma: float) -> DataF
 
     No pair is fused where all previous norms are 0.
     """
-    largest = pair_norms.agg(F.max("previous").alias("largest"))
-    fused = (F.col("largest") >= 1e-12) & (F.col("previous") < tau)
-    zero = F.avg(F.when(fused, (F.col("difference") <= gamma).cast("double")))
-    rows = pair_norms.crossJoin(F.broadcast(largest))  # one row
-    return rows.agg(F.avg(fused.cast("double")).alias("frac_fused"), F.coalesce(zero, F.lit(0.0)).alias("frac_zero"), F.coalesce(F.median("previous"), F.lit(0.0)).alias("median_previous"), F.coalesce(F.median("difference"), F.lit(0.0)).alias("median_difference"))
+    rows = written(pair_norms, "pair-norms")
+    of = lambda c: F.lit(quantile(rows, F.col(c), 0.5) or 0.0)
+    near = F.col("previous") < tau
+    fused = rows.agg(F.max("previous").alias("largest"), F.count("*").alias("n"), F.count(F.when(near, 1)).alias("near"), F.count(F.when(near & (F.col("difference") <= gamma), 1)).alias("zero"))
+    held = F.when(F.col("largest") >= 1e-12, F.col("near")).otherwise(0)
+    share = lambda part, whole: F.when(whole > 0, part / whole)
+    return fused.select(share(held, F.col("n")).alias("frac_fused"), F.coalesce(share(F.when(held > 0, F.col("zero")).otherwise(0), held), F.lit(0.0)).alias("frac_zero"), of("previous").alias("median_previous"), of("difference").alias("median_difference"))
 
 
 def artifacts(found: DataFrame, d: int, params: dict, digits: int | None = 3, version: str = "thicket-1") -> DataFrame:
