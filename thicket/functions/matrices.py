@@ -110,8 +110,8 @@ def finite(w: Column, most: float = 1e3) -> Column:
 
 def soft_threshold(a: Column, gamma: Column | float) -> Column:
     """The whole matrix drawn towards 0 by gamma in Frobenius norm, 0 if it isn't that far."""
-    factor = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(gamma) / (frobenius(a) + 1e-12))
-    return F.transform(F.arrays_zip(a.alias("x"), F.array_repeat(factor, F.size(a)).alias("f")), lambda p: p["x"] * p["f"])
+    factor = lambda x: F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(gamma) / (frobenius(x) + 1e-12))
+    return let(a, lambda x: let(factor(x), lambda f: times(x, f)))
 
 
 def inverse_of_residual(w: Column, d: int) -> Column:
