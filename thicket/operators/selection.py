@@ -77,21 +77,19 @@ def largest_jump(heights: DataFrame, height: str = "height") -> DataFrame:
     return up.unionByName(flat).orderBy("edge", F.desc("step"), "cut").limit(1).select("cut")
 
 
-def silhouette(points: DataFrame, d: int) -> DataFrame:
+def silhouette(points: DataFrame) -> DataFrame:
     """(id, silhouette) with exact Euclidean distances. points: id, x array<double>, label.
 
-    A cluster of one gets 0. Pairs are met block by block and summed to a row for each point and label.
+    A cluster of one gets 0, and so does a point without label, which is no neighbour of others
+    either. Blocks of points meet and leave a sum for each point and label.
     """
-    from ..functions import matrices as M
-    from .pairs import pair_rows
+    from .blocks import label_distances
 
-    pairs = pair_rows(points, "id", "x", "label").withColumn("dist", M.frobenius(M.minus(F.col("x_i"), F.col("x_j"))))
-    side = lambda a, b: F.struct(F.col(a).alias("id"), F.col(f"label_{a}").alias("own"), F.col(f"label_{b}").alias("other"), "dist")
-    # Each pair is met once and counts for both of its points.
-    both = pairs.select(F.explode(F.array(side("i", "j"), side("j", "i"))).alias("s")).select("s.*")
-    mean = both.groupBy("id", "own", "other").agg(F.avg("dist").alias("mean"))
+    mean = label_distances(points, "id", "x", "label").withColumn("mean", F.col("total") / F.col("n"))
     per = mean.groupBy("id").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("mean"))).alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    wide = F.greatest("a", "b")
+    # Equal points have no distance to divide by.
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (wide == 0), 0.0).otherwise((F.col("b") - F.col("a")) / wide)
     return points.select("id").join(per, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 

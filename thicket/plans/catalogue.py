@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..functions import kernels as K
-from ..operators import clustering, errors, folds, graph_metrics, moments, pairs, selection
+from ..operators import blocks, clustering, errors, folds, graph_metrics, moments, pairs, selection
 from ..sources import simulate
 from ..sources.written import written
 from . import experiments, fit, preclusters
@@ -208,7 +208,7 @@ def covariance_error(spark, sf):
 @query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.x, b.x), 6) + 0.0 AS dist FROM e a JOIN e b ON a.vec_id < b.vec_id")
 def pair_distance(spark, sf):
     vectors = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return pairs.pair_rows(vectors, "vec_id", "x").select("i", "j", r6(pairs.distance(F.col("x_i"), F.col("x_j"))).alias("dist"))
+    return blocks.pair_distances(vectors, "vec_id", "x").select("i", "j", r6("dist").alias("dist"))
 
 
 def written_weights(spark, sf):
@@ -471,7 +471,7 @@ v AS (SELECT id, max(CASE WHEN own = other THEN m END) AS a, min(CASE WHEN own <
 SELECT vec_id AS id, round(coalesce((b - a) / greatest(a, b), 0.0), 6) + 0.0 AS silhouette FROM e LEFT JOIN v ON v.id = vec_id""")
 def silhouette_exact(spark, sf):
     points = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
-    return selection.silhouette(points, 64).select("id", r6("silhouette").alias("silhouette"))
+    return selection.silhouette(points).select("id", r6("silhouette").alias("silhouette"))
 
 
 # What fits: no SQL, so the tests hold these against optimality conditions and known graphs.
@@ -523,13 +523,13 @@ def tune_oracle(spark, sf):
 
 @query()
 def complete_linkage(spark, sf):
-    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = blocks.pair_distances(written_weights(spark, sf), "subject_id", "w")
     return fit.linkage(apart, TAU, stats(spark, sf).select("subject_id"))
 
 
 @query()
 def complete_linkage_jump(spark, sf):
-    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = blocks.pair_distances(written_weights(spark, sf), "subject_id", "w")
     return fit.linkage(apart, None, stats(spark, sf).select("subject_id"))
 
 
@@ -607,7 +607,7 @@ def notears_constrained(spark, sf):
 @query("SELECT count(DISTINCT l_suppkey)::BIGINT AS n, true AS within, true AS apart FROM lineitem")
 def linkage_is_complete(spark, sf):
     """Members of a group are within the cut, and of any two groups some members aren't."""
-    apart = pairs.pair_rows(written_weights(spark, sf), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist")).persist()
+    apart = blocks.pair_distances(written_weights(spark, sf), "subject_id", "w").persist()
     found = fit.linkage(apart, TAU, stats(spark, sf).select("subject_id")).persist()
     left, right = found.toDF("i", "label_i"), found.toDF("j", "label_j")
     both = apart.join(left, "i").join(right, "j").select(F.least("label_i", "label_j").alias("a"), F.greatest("label_i", "label_j").alias("b"), "dist")

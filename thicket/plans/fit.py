@@ -264,9 +264,9 @@ def best_alpha(tuned: DataFrame, shared: bool) -> DataFrame:
 
 def grouped_by_linkage(own: DataFrame, cut: float | None, d: int) -> DataFrame:
     """(subject_id, label, w) from (subject_id, w): subjects grouped by complete linkage, each with its group's mean matrix."""
-    from ..operators import pairs, selection
+    from ..operators import blocks, selection
 
-    apart = pairs.pair_rows(own.select("subject_id", "w"), "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = blocks.pair_distances(own, "subject_id", "w")
     labels = linkage(apart, cut, own.select("subject_id")).withColumnRenamed("id", "subject_id")
     labelled = own.select("subject_id", "w").join(labels, "subject_id")
     return labels.join(selection.consensus(labelled, d, None, None), "label").select("subject_id", "label", "w")
@@ -274,10 +274,10 @@ def grouped_by_linkage(own: DataFrame, cut: float | None, d: int) -> DataFrame:
 
 def two_step(spark: SparkSession, stats: DataFrame, d: int, beta: float, tau: float) -> tuple[DataFrame, DataFrame]:
     """((subject_id, label), (label, w)): graphs of single subjects, rounded to 3 digits, grouped by complete linkage; group means as they are."""
-    from ..operators import pairs, selection
+    from ..operators import blocks, selection
 
     entries = notears_individual(stats, d, beta).select("subject_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.bround("weight", 3).alias("value"))
     own = moments.array_form(entries, d, "subject_id")
-    apart = pairs.pair_rows(own, "subject_id", "w").select("i", "j", pairs.distance(F.col("w_i"), F.col("w_j")).alias("dist"))
+    apart = blocks.pair_distances(own, "subject_id", "w")
     labels = linkage(apart, tau, own.select("subject_id")).withColumnRenamed("id", "subject_id")
     return labels, selection.consensus(own.join(labels, "subject_id"), d, None, None)
