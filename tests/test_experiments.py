@@ -15,7 +15,7 @@ from thicket.sources import files, simulate
 @pytest.fixture(scope="module")
 def small(spark):
     obs, labels, centers = simulate.simulate(spark, 6, 40, 3, (0.5, 0.5), (2, 2), 0.5, 0)
-    folded = folds.with_shuffled_folds(spark, obs, 2, 0)
+    folded = folds.with_shuffled_folds(obs, 2, 0)
     return moments.additive(obs, 3, "subject_id").persist(), moments.additive(folded, 3, "subject_id", "fold").persist(), labels.join(centers, "label").persist()
 
 

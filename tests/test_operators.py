@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thicket.functions import matrices as M
@@ -79,14 +80,55 @@ def test_folds(spark):
     obs = spark.createDataFrame([(s, k, [0.0]) for s, n in ((1, 7), (2, 4)) for k in range(n)], "subject_id long, obs_idx int, x array<double>")
     sizes = {(r.subject_id, r.fold): r["count"] for r in folds.with_contiguous_folds(obs, 3).groupBy("subject_id", "fold").count().collect()}
     assert sizes == {(1, 0): 3, (1, 1): 2, (1, 2): 2, (2, 0): 2, (2, 1): 1, (2, 2): 1}
-    shuffled = folds.with_shuffled_folds(spark, obs, 3, 0).toPandas()
+    shuffled = folds.with_shuffled_folds(obs, 3, 0).toPandas()
     assert len(shuffled) == 11 and shuffled.groupby(["subject_id", "fold"]).size().max() == 3
-    with pytest.raises(ValueError):
-        folds.shuffled_plan(spark, [2], 3, 0)
+    with pytest.raises(Exception, match="2 rows are too few for 3 folds"):
+        folds.with_shuffled_folds(obs.where("obs_idx < 2"), 3, 0).collect()
     parts = folds.split(obs, 0.99).where("part = 'test'").groupBy("subject_id").count().collect()
     assert {r.subject_id: r["count"] for r in parts} == {1: 1, 2: 1}
 
 
+def plain_places(m: int, seed: int) -> list[int]:
+    draw = np.random.RandomState(seed)
+    rounds = list(zip(*([int(v) for v in draw.randint(1, folds.PRIME, folds.ROUNDS)] for _ in range(4)), strict=True))
+    out = []
+    for x in range(m):
+        for k, a, b, c in rounds:
+            y = (k - x) % m
+            v = (max(x, y) * a + b) % folds.PRIME
+            if (v * v + c * v) % folds.PRIME % 2:
+                x = y
+        out.append(x)
+    return out
+
+
+def test_shuffled_folds_are_permutations_of_each_subject(spark):
+    lengths = {1: 3, 2: 8, 3: 101, 4: 101, 5: 5000}
+    obs = spark.createDataFrame([(s, k) for s, n in lengths.items() for k in range(n)], "subject_id long, obs_idx int")
+    m = F.count("*").over(Window.partitionBy("subject_id"))
+    for seed in (0, 7):
+        places, found = {}, {}
+        for r in obs.withColumn("place", folds.permuted(F.col("obs_idx"), m, seed)).orderBy("obs_idx").collect():
+            places.setdefault(r.subject_id, []).append(r.place)
+        for r in folds.with_shuffled_folds(obs, 3, seed).orderBy("obs_idx").collect():
+            found.setdefault(r.subject_id, []).append(r.fold)
+        assert {s: sorted(p) for s, p in places.items()} == {s: list(range(n)) for s, n in lengths.items()}
+        assert all(places[s] == plain_places(n, seed) for s, n in lengths.items())
+        assert {s: [f.count(k) for k in range(3)] for s, f in found.items()} == {s: [n // 3 + (k < n % 3) for k in range(3)] for s, n in lengths.items()}
+        assert found[3] == found[4] and found[5] != sorted(found[5])
+
+
+def test_shuffled_places_are_uniform_over_seeds():
+    seeds, m = 3000, 6
+    rows = np.array([plain_places(m, seed) for seed in range(seeds)])
+    counts = np.array([[(rows[:, x] == y).sum() for y in range(m)] for x in range(m)])
+    # 25 degrees of freedom: above 60 in one case of ten thousand.
+    assert ((counts - seeds / m) ** 2 / (seeds / m)).sum() < 60
+    pairs_at = np.bincount(rows[:, 0] * m + rows[:, 1], minlength=m * m).reshape(m, m)
+    apart = pairs_at[~np.eye(m, dtype=bool)]
+    assert (np.diag(pairs_at) == 0).all() and ((apart - seeds / 30) ** 2 / (seeds / 30)).sum() < 70
+
+
 def test_graph_metrics_edge_cases(spark):
     zero, edge, back = [0.0] * 4, [0.0, 0.5, 0.0, 0.0], [0.0, 0.0, 0.5, 0.0]
     at = [0.0, 0.01, 0.0, 0.0]
@@ -143,7 +185,7 @@ def test_grouped_fit_and_baselines_find_simulated_groups(spark):
     assert fit.notears_cluster(stats.join(truth, "subject_id"), 3, 0.01).count() == 18
     labels, means = fit.two_step(spark, stats, 3, 0.01, 0.4)
     assert labels.count() == 8 and means.count() == labels.select("label").distinct().count()
-    by_fold = moments.additive(folds.with_shuffled_folds(spark, obs, 2, 0), 3, "subject_id", "fold").persist()
+    by_fold = moments.additive(folds.with_shuffled_folds(obs, 2, 0), 3, "subject_id", "fold").persist()
     grid = selection.param_grid(spark, {"lambda1": [0.01], "lambda2": [0.01], "tau": [0.4], "rho1": [0.1], "rho2": [0.05]})
     errors = fit.cross_validate(spark, by_fold, 3, grid, fit.K.Settings(max_dc=1, max_admm=3), ("recon", "mle", "cov")).toPandas()
     assert len(errors) == 2 and errors.notna().all().all()

@@ -21,7 +21,7 @@ def experiment(spark: SparkSession, args: argparse.Namespace) -> dict:
     obs, labels, centers = simulate.simulate(spark, args.n, lengths, d, args.proportions, args.edges, args.std, args.seed)
     obs, truth = obs.persist(), labels.join(centers, "label").persist()
     # With several criteria folds are runs of rows, as published.
-    folded = folds.with_contiguous_folds(obs, args.folds) if len(args.criteria) > 1 else folds.with_shuffled_folds(spark, obs, args.folds, args.seed)
+    folded = folds.with_contiguous_folds(obs, args.folds) if len(args.criteria) > 1 else folds.with_shuffled_folds(obs, args.folds, args.seed)
     stats, by_fold = moments.additive(obs, d, "subject_id").persist(), moments.additive(folded, d, "subject_id", "fold").persist()
     grid = selection.param_grid(spark, {"lambda1": args.lambda1, "lambda2": args.lambda2, "tau": args.tau, "rho1": [args.rho1], "rho2": [args.rho2]})
     methods = experiments.METHODS if "all" in args.methods else tuple(args.methods)

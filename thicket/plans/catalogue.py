@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -628,10 +629,25 @@ def random_graphs(spark, sf):
     return graphs.select("kind", "seed", (M.acyclicity(F.col("w"), 5) == 0).alias("acyclic"), F.forall(edges, lambda x: F.abs(x).between(0.2, 0.5)).alias("weighted"), F.when(F.col("kind") == "UR", F.size(edges).cast("long")).otherwise(F.lit(-1).cast("long")).alias("edges"))
 
 
-@query(base_sql(f"{FOLD_SQL} SELECT subject_id, fold, count(*)::BIGINT AS n FROM f GROUP BY ALL"))
+SHUFFLE_SEED = 7
+
+
+def _shuffled_sql() -> str:
+    """The rounds of the permutation in turn, one after the other over (subject_id, obs_idx, m, x)."""
+    draw = np.random.RandomState(SHUFFLE_SEED)
+    key, a, b, c = ([int(v) for v in draw.randint(1, folds.PRIME, folds.ROUNDS)] for _ in range(4))
+    values = ", ".join(f"({r}::INT, {key[r]}::BIGINT, {a[r]}::BIGINT, {b[r]}::BIGINT, {c[r]}::BIGINT)" for r in range(folds.ROUNDS))
+    return f"""rounds(n, k, a, b, c) AS (VALUES {values}),
+walk(subject_id, obs_idx, m, n, x) AS (SELECT subject_id, obs_idx, m, 0, obs_idx::BIGINT FROM obs UNION ALL
+  SELECT subject_id, obs_idx, m, n + 1, CASE WHEN (l * l + c * l) % {folds.PRIME} % 2 = 1 THEN y ELSE x END FROM (
+    SELECT subject_id, obs_idx, m, w.n, x, c, ((k - x) % m + m) % m AS y, (greatest(x, ((k - x) % m + m) % m) * a + b) % {folds.PRIME} AS l FROM walk w JOIN rounds r ON r.n = w.n)),
+f AS (SELECT subject_id, obs_idx, m, x FROM walk WHERE n = {folds.ROUNDS})"""
+
+
+@query(base_sql(f"{_shuffled_sql()} SELECT subject_id, obs_idx, (CASE WHEN x < (m % {FOLDS}) * (m // {FOLDS} + 1) THEN x // (m // {FOLDS} + 1) ELSE m % {FOLDS} + (x - (m % {FOLDS}) * (m // {FOLDS} + 1)) // (m // {FOLDS}) END)::INT AS fold FROM f", True))
 def kfold_shuffled(spark, sf):
-    """Shuffled folds have the sizes of runs."""
-    return folds.with_shuffled_folds(spark, obs(spark, sf), FOLDS, 7).groupBy("subject_id", "fold").agg(F.count("*").alias("n"))
+    """The fold of every row."""
+    return folds.with_shuffled_folds(obs(spark, sf), FOLDS, SHUFFLE_SEED).select("subject_id", "obs_idx", "fold")
 
 
 @query(base_sql(f"{CV_SQL} SELECT shrink AS alpha, round(avg(round(recon_mean, 9)), 6) + 0.0 AS error FROM cv GROUP BY shrink ORDER BY avg(round(recon_mean, 9)), shrink LIMIT 1"))
@@ -682,7 +698,7 @@ def evaluation(spark, sf):
 def simulated(spark: SparkSession, shares: tuple[float, ...], shuffled: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stats, by fold, truth) of the published simulation: 50 subjects, 300 rows, 5 variables, seed 0."""
     drawn, labels, centers = simulate.simulate(spark, 50, 300, 5, shares, (5,) * len(shares), 1.0, 0)
-    folded = folds.with_shuffled_folds(spark, drawn, FOLDS, 0) if shuffled else folds.with_contiguous_folds(drawn, FOLDS)
+    folded = folds.with_shuffled_folds(drawn, FOLDS, 0) if shuffled else folds.with_contiguous_folds(drawn, FOLDS)
     return moments.additive(drawn, 5, "subject_id"), moments.additive(folded, 5, "subject_id", "fold"), labels.join(centers, "label")
 
 
