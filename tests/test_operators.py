@@ -129,6 +129,29 @@ def test_shuffled_places_are_uniform_over_seeds():
     assert (np.diag(pairs_at) == 0).all() and ((apart - seeds / 30) ** 2 / (seeds / 30)).sum() < 70
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ranks_equal_row_numbers_however_rows_are_dealt(spark, parts):
+    # One subject holds most rows, so that it lies in several ranges.
+    rng = np.random.default_rng(3)
+    rows = [(None if s == 4 else int(s), None if v < 3 else int(v), k) for k, (s, v) in enumerate(zip(np.where(rng.random(900) < 0.8, 0, rng.integers(0, 6, 900)), rng.integers(0, 500, 900), strict=True))]
+    frame = spark.createDataFrame(rows, "subject_id long, v long, k long").repartition(3)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = moments.ranked(frame, "subject_id", ["v", "k"])
+        want = frame.withColumn("obs_idx", F.row_number().over(Window.partitionBy("subject_id").orderBy("v", "k")) - 1)
+        assert dealt.columns == want.columns and dealt.schema["obs_idx"].dataType == want.schema["obs_idx"].dataType
+        assert {tuple(r) for r in dealt.collect()} == {tuple(r) for r in want.collect()} and dealt.count() == 900
+        # Equal rows: each place once.
+        ties = moments.ranked(frame.withColumn("v", F.lit(1)), "subject_id", ["v"]).groupBy("subject_id").agg(F.count("*").alias("n"), F.countDistinct("obs_idx").alias("places"), F.min("obs_idx").alias("low"), F.max("obs_idx").alias("high"))
+        assert all(r.n == r.places == r.high + 1 and r.low == 0 for r in ties.collect())
+        assert moments.ranked(frame.limit(0), "subject_id", ["v"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_graph_metrics_edge_cases(spark):
     zero, edge, back = [0.0] * 4, [0.0, 0.5, 0.0, 0.0], [0.0, 0.0, 0.5, 0.0]
     at = [0.0, 0.01, 0.0, 0.0]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import matrices as M
+from ..sources.written import written
 
 
 def additive(observations: DataFrame, d: int, *keys: str) -> DataFrame:
@@ -91,7 +92,26 @@ def numeric_columns(frame: DataFrame, *but: str) -> list[str]:
     return [f.name for f in frame.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
 
-def observations(frame: DataFrame, subject: str, columns: list[str], order: list[str]) -> DataFrame:
-    """(subject_id, obs_idx, x): obs_idx counts from 0 in the given order."""
-    index = F.row_number().over(Window.partitionBy(subject).orderBy(*order)) - 1
-    return frame.select(F.col(subject).alias("subject_id"), index.alias("obs_idx"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+def ranked(frame: DataFrame, subject: str, order: list[str], name: str = "obs_idx") -> DataFrame:
+    """frame with each row's place within its subject, from 0, in the given order (nulls first; equal rows in any, but one, order).
+
+    Rows are dealt to ranges of (subject, order) and written there with their place in the range, so
+    that a subject may have any number of rows; counts of subjects in ranges, at most one range's
+    more than there are subjects and ranges, tell where a range begins.
+    """
+    at, part, first, before = (f"{what} of row" for what in ("place", "range", "first", "before"))
+    dealt = frame.repartitionByRange(subject, *order).sortWithinPartitions(subject, *order).withColumn(at, F.monotonically_increasing_id())
+    # An id is its range's number above 33 bits for the place.
+    placed = written(dealt, "ranks").withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(F.col(subject).alias("subject of range"), F.col(part).alias("range")).agg(F.min(at).alias(first), F.count("*").alias("n"))
+    earlier = Window.partitionBy("subject of range").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    joined = placed.join(starts, placed[subject].eqNullSafe(starts["subject of range"]) & (placed[part] == starts["range"]))
+    return joined.select(*frame.columns, (F.col(at) - F.col(first) + F.col(before)).cast("int").alias(name))
+
+
+def observations(frame: DataFrame, subject: str, columns: list[str], order: list[str] | None) -> DataFrame:
+    """(subject_id, obs_idx, x): obs_idx counts from 0 in the given order; without an order there is no obs_idx."""
+    names = [f"order {k}" for k in range(len(order or []))]
+    rows = frame.select(F.col(subject).alias("subject_id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), *(F.col(c).alias(n) for c, n in zip(order or [], names, strict=True)))
+    return rows if order is None else ranked(rows, "subject_id", names).select("subject_id", "obs_idx", "x")

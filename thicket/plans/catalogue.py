@@ -51,14 +51,15 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
+def obs(spark: SparkSession, sf: str, ranked: bool = True) -> DataFrame:
+    """(subject_id, obs_idx, x); places are worked out only where a query needs them."""
     lines = load(spark, sf, "lineitem").select("l_suppkey", *dict.fromkeys(ORDER + MEASURES))
     scored = moments.zscore(lines.withColumn("price", F.col("l_extendedprice")), MEASURES, "l_suppkey")
-    return moments.observations(scored, "l_suppkey", MEASURES, ["l_orderkey", "l_linenumber", "l_partkey", "price"])
+    return moments.observations(scored, "l_suppkey", MEASURES, ["l_orderkey", "l_linenumber", "l_partkey", "price"] if ranked else None)
 
 
 def stats(spark: SparkSession, sf: str) -> DataFrame:
-    return moments.additive(obs(spark, sf), D, "subject_id")
+    return moments.additive(obs(spark, sf, ranked=False), D, "subject_id")
 
 
 def upper_weights() -> Column:
@@ -502,7 +503,7 @@ def notears_cluster(spark, sf):
 
 @query()
 def notears_logistic(spark, sf):
-    signs = obs(spark, sf).withColumn("x", F.transform("x", lambda v: F.when(v > 0, 1.0).otherwise(0.0)))
+    signs = obs(spark, sf, ranked=False).withColumn("x", F.transform("x", lambda v: F.when(v > 0, 1.0).otherwise(0.0)))
     return fit.notears_rows(signs, D, 0.01, "logistic")
 
 
