@@ -86,6 +86,9 @@ def test_folds(spark):
         folds.with_shuffled_folds(obs.where("obs_idx < 2"), 3, 0).collect()
     parts = folds.split(obs, 0.99).where("part = 'test'").groupBy("subject_id").count().collect()
     assert {r.subject_id: r["count"] for r in parts} == {1: 1, 2: 1}
+    # 90 * 0.7 is less than 63 in doubles.
+    many = spark.range(90).selectExpr("1L as subject_id", "cast(id as int) as obs_idx", "array(0D) as x")
+    assert folds.split(many, 0.7).where("part = 'train'").count() == 63
 
 
 def plain_places(m: int, seed: int) -> list[int]:
