@@ -69,3 +69,15 @@ def test_cells_keep_their_columns_and_get_a_cluster(spark, cells):
     # Imputed values may put a cell or two elsewhere; the three cells of z are too few.
     assert sorted(s for s, _ in sizes) == ["x", "x", "x", "y", "y"] and all(abs(n - (40 if s == "x" else 30)) <= 2 for s, n in sizes) and sum(n for _, n in sizes) == 180
     assert preclusters.preclusters(cells.limit(0), FEATURES, ks=[2], starts=2).count() == 0
+
+
+def test_rounds_are_many_tasks_and_run_once(spark, cells, monkeypatch):
+    calls, rounds = [], preclusters.kmeans
+
+    def counted(placed, *args):
+        calls.append(placed.rdd.getNumPartitions())
+        return rounds(placed, *args)
+
+    monkeypatch.setattr(preclusters, "kmeans", counted)
+    assert preclusters.preclusters(cells.coalesce(1), FEATURES, ks=[2, 3], starts=2).count() == 180
+    assert calls == [2 * spark.sparkContext.defaultParallelism]

@@ -20,8 +20,12 @@ def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
     return frame[features].to_numpy(float)
 
 
-#: Rows of a stimulus that starting centres are drawn from, about; rows of a block whose silhouettes one task works out.
-SEED_ROWS, BLOCK_ROWS = 20_000, 2_000
+#: Rows of a stimulus that starting centres are drawn from, about; rows of a block whose silhouettes one task works out, at most.
+SEED_ROWS, BLOCK_ROWS = 20_000, 50_000
+#: Blocks that a stimulus is cut into before a block grows, and rows that are worth one.
+BLOCKS, SMALL_ROWS = 16, 1_000
+#: Tasks that blocks are dealt to, at most.
+MOST_TASKS = 2_000
 ROUNDS = 300
 
 
@@ -89,9 +93,9 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def lloyd(placed: DataFrame, centres: Centres) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """{(stimulus, k): (counts, sums, inertia by start)} of one pass over all rows: sums in each task, then one row a task and run together.
+    """{(stimulus, k): (counts, sums, inertia by start)} of one pass over all rows: sums in each task, added up by the driver.
 
-    What comes back are k (dims + 1) numbers a run, however many rows there are.
+    What comes back are k (dims + 1) numbers a run and task, however many rows there are.
     """
     kind = placed.schema["stimulus"].dataType.simpleString()
 
@@ -110,11 +114,9 @@ def lloyd(placed: DataFrame, centres: Centres) -> dict[tuple, tuple[np.ndarray,
         if held:
             yield pd.DataFrame([(s, k, np.concatenate([v.ravel() for v in values]).astype(float)) for (s, k), values in held.items()], columns=["stimulus", "k", "numbers"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.iloc[:1].assign(numbers=[np.sum(frame["numbers"].to_list(), axis=0)])
-
     schema = f"stimulus {kind}, k int, numbers array<double>"
-    got = placed.select("stimulus", "point").mapInPandas(run, schema).groupBy("stimulus", "k").applyInPandas(add, schema).toPandas()
+    got = placed.select("stimulus", "point").mapInPandas(run, schema).toPandas()
+    got = got.groupby(["stimulus", "k"], dropna=False)["numbers"].agg(lambda parts: np.sum(parts.to_list(), axis=0)).reset_index()
     out = {}
     for key, numbers in zip(zip(got["stimulus"], got["k"], strict=True), got["numbers"], strict=True):
         starts, k, dims = centres[key].shape
@@ -143,13 +145,22 @@ def kmeans(placed: DataFrame, ks: list[int], starts: int = 50, seed: int = 42) -
     return best
 
 
+def dealt(placed: DataFrame) -> DataFrame:
+    """placed in a few tasks a core, and kept: a round is much work on few bytes, so its tasks must not follow the bytes."""
+    return placed.repartition(2 * placed.sparkSession.sparkContext.defaultParallelism).persist()
+
+
 def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
     """(stimulus, n_cells, pca_dims, k, silhouette): exact, from all pairs of a stimulus's rows, block against all.
 
     A task holds one block of rows and lets the others pass; distances are taken once for all k.
     """
-    placed = points(cells, features, share).select("stimulus", "n_cells", "pca_dims", "point").persist()
-    best = kmeans(placed, sorted(set(ks)), starts, seed)
+    placed = dealt(points(cells, features, share).select("stimulus", "n_cells", "pca_dims", "point"))
+    return scores(placed, kmeans(placed, sorted(set(ks)), starts, seed))
+
+
+def scores(placed: DataFrame, best: dict[tuple, tuple[np.ndarray, float]]) -> DataFrame:
+    """silhouettes of placed rows by the centres of kmeans."""
     kind = placed.schema["stimulus"].dataType.simpleString()
     by_stimulus: dict = {}
     for (stimulus, k), (centres, _) in best.items():
@@ -188,19 +199,30 @@ def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: flo
                     block = np.concatenate(mine)
                     sums, sizes = [np.zeros((len(block), len(c))) for _, c in of], [np.zeros(len(c)) for _, c in of]
                 for part in np.array_split(x, -(-len(x) * len(block) // (1 << 20))):
-                    dist = np.sqrt(((block[:, None] - part) ** 2).sum(axis=2))
-                    for q, (_, c) in enumerate(of):
-                        one = np.eye(len(c))[nearest(part, c[None])[0][:, 0]]
-                        sums[q] += dist @ one
-                        sizes[q] += one.sum(axis=0)
+                    dist = (block[:, :1] - part[:, 0]) ** 2
+                    for axis in range(1, part.shape[1]):
+                        dist += (block[:, axis : axis + 1] - part[:, axis]) ** 2
+                    ones = [np.eye(len(c))[nearest(part, c[None])[0][:, 0]] for _, c in of]
+                    added = np.sqrt(dist, out=dist) @ np.concatenate(ones, axis=1)
+                    for q, columns in enumerate(np.split(added, np.cumsum([one.shape[1] for one in ones])[:-1], axis=1)):
+                        sums[q] += columns
+                        sizes[q] += ones[q].sum(axis=0)
         if block is not None:
             yield out()
 
-    blocks = F.ceil(F.col("n_cells") / BLOCK_ROWS).cast("int")
-    mine = placed.select("stimulus", F.pmod(F.xxhash64("point", F.monotonically_increasing_id()), blocks).cast("int").alias("block"), F.lit(False).alias("passing"), "point")
-    others = placed.select("stimulus", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("passing"), "point")
-    dealt = mine.union(others).repartition("stimulus", "block").sortWithinPartitions("stimulus", "block", "passing")
-    parts = dealt.mapInPandas(scored, f"stimulus {kind}, k int, total double, n long").groupBy("stimulus", "k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    # Each block of each stimulus is a unit of work; a row a stimulus says where its units begin.
+    firsts, units = [], 0
+    for stimulus, n in placed.select("stimulus", "n_cells").distinct().collect():
+        blocks = max(-(-n // BLOCK_ROWS), min(BLOCKS, -(-n // SMALL_ROWS)))
+        firsts.append((stimulus, units, blocks))
+        units += blocks
+    starts_at = placed.sparkSession.createDataFrame(firsts, f"of {kind}, first long, blocks int")
+    numbered = placed.join(F.broadcast(starts_at), placed["stimulus"].eqNullSafe(F.col("of")))
+    mine = numbered.select("stimulus", F.pmod(F.xxhash64("point", F.monotonically_increasing_id()), "blocks").cast("int").alias("block"), F.lit(False).alias("passing"), "point", "first")
+    others = numbered.select("stimulus", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("passing"), "point", "first")
+    tasks = max(1, min(units, MOST_TASKS))
+    units_met = mine.union(others).repartitionById(tasks, F.expr(f"cast((first + block) % {tasks} as int)")).drop("first").sortWithinPartitions("stimulus", "block", "passing")
+    parts = units_met.mapInPandas(scored, f"stimulus {kind}, k int, total double, n long").groupBy("stimulus", "k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
     shapes = placed.select(F.col("stimulus").alias("of"), "n_cells", "pca_dims").distinct()
     return parts.join(shapes, parts["stimulus"].eqNullSafe(shapes["of"])).select("stimulus", "n_cells", "pca_dims", "k", "silhouette")
 
@@ -211,14 +233,16 @@ def selected(scores: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return scores.select("stimulus", "n_cells", "pca_dims", "k").join(chosen, ["stimulus", "k"]).select("stimulus", "n_cells", "pca_dims", "k")
 
 
-def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
-    """cells with cluster (from 0), for each stimulus's chosen k. Stimuli that aren't in `chosen` are left out."""
+def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: float = 0.8, starts: int = 50, seed: int = 42, best: dict[tuple, tuple[np.ndarray, float]] | None = None) -> DataFrame:
+    """cells with cluster (from 0), for each stimulus's chosen k. Stimuli that aren't in `chosen` are left out. best: what kmeans found, if it is known."""
     wanted = [(r.stimulus, r.k) for r in chosen.select("stimulus", "k").collect()]  # a row a stimulus
     if not wanted:
         return cells.limit(0).withColumn("cluster", F.lit(0))
-    placed = points(cells, features, share).persist()
+    placed = points(cells, features, share)
     kind = placed.schema["stimulus"].dataType.simpleString()
-    best = kmeans(placed, sorted({k for _, k in wanted}), starts, seed)
+    if best is None:
+        placed = dealt(placed)
+        best = kmeans(placed, sorted({k for _, k in wanted}), starts, seed)
     rows = [(s, c.tolist()) for (s, k), (c, _) in best.items() if (s, k) in wanted]
     centres = cells.sparkSession.createDataFrame(rows, f"of {kind}, centres array<array<double>>")
     gaps = F.transform("centres", lambda c: F.aggregate(F.zip_with("point", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v))
@@ -228,5 +252,6 @@ def assigned(cells: DataFrame, features: list[str], chosen: DataFrame, share: fl
 
 def preclusters(cells: DataFrame, features: list[str], ks: list[int] | None = None, tolerance: float = 0.01, starts: int = 50, least: int = 20) -> DataFrame:
     """cells (stimulus, features) with cluster, without (stimulus, cluster) groups of fewer than `least` rows."""
-    scores = silhouettes(cells, features, ks or list(range(2, 11)), starts=starts)
-    return selection.large_groups(assigned(cells, features, selected(scores, tolerance), starts=starts), ["stimulus", "cluster"], least)
+    placed = dealt(points(cells, features).select("stimulus", "n_cells", "pca_dims", "point"))
+    best = kmeans(placed, sorted(set(ks or range(2, 11))), starts)
+    return selection.large_groups(assigned(cells, features, selected(scores(placed, best), tolerance), best=best), ["stimulus", "cluster"], least)
