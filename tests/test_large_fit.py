@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from thicket.functions import kernels as K
-from thicket.operators import blocks
+from thicket.operators import blocks, selection
 from thicket.plans import fit
 
 
@@ -28,3 +29,15 @@ def test_fits_beyond_one_task_are_those_of_one_task(spark, monkeypatch, stats, h
     assert np.allclose(many["weight"], few["weight"], atol=1e-6)
     if how.cut == "jump":
         assert np.allclose(fit.fit_trace(spark, stats, 3, how).toPandas(), trace, rtol=1e-4, atol=1e-6)
+
+
+def test_grid_beyond_one_task_has_the_errors_of_one_task(spark, monkeypatch, stats):
+    by_fold = stats.select("subject_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), "m", "sum", F.transform("xtx", lambda v: v * (1 + F.col("subject_id") / 50)).alias("xtx"))
+    grid = selection.param_grid(spark, {"lambda1": [0.01], "lambda2": [0.02], "tau": [0.4], "rho1": [0.1], "rho2": [0.05]})
+    ask = lambda: fit.cross_validate(spark, by_fold, 3, grid, K.Settings(max_dc=1, max_admm=1), ("recon", "mle", "cov")).orderBy("fold").toPandas()
+    few = ask()
+    monkeypatch.setattr(fit, "MOST_NUMBERS", 18)
+    monkeypatch.setattr(blocks, "LEAST_BLOCKS", 2)
+    many = ask()
+    assert list(many.columns) == list(few.columns) and len(many) == 2
+    assert np.allclose(many, few, atol=1e-5)
