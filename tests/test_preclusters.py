@@ -81,3 +81,35 @@ def test_rounds_are_many_tasks_and_run_once(spark, cells, monkeypatch):
     monkeypatch.setattr(preclusters, "kmeans", counted)
     assert preclusters.preclusters(cells.coalesce(1), FEATURES, ks=[2, 3], starts=2).count() == 180
     assert calls == [2 * spark.sparkContext.defaultParallelism]
+
+
+def test_a_round_moves_rows_to_the_first_nearest_centre():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(700, 2)), np.zeros((5, 2))])
+    centres = rng.normal(size=(4, 3, 2))
+    centres[1, 0], centres[1, 1] = (-0.5, 0.0), (0.5, 0.0)  # rows at 0 are as near to either
+    centres[1, 2] = 9.0
+    counts, sums, inertia = preclusters.moved(x, centres)
+    dist = ((x[:, None, None] - centres) ** 2).sum(axis=3)
+    label = dist.argmin(axis=2)
+    assert counts.reshape(4, 3).tolist() == [[(label[:, s] == c).sum() for c in range(3)] for s in range(4)]
+    assert np.allclose(sums.reshape(4, 3, 2), [[x[label[:, s] == c].sum(axis=0) for c in range(3)] for s in range(4)])
+    assert np.allclose(inertia, dist.min(axis=2).sum(axis=0))
+
+
+@pytest.mark.parametrize("passing, tile", [(40, 1 << 13), (1 << 17, 1 << 18)])
+def test_silhouettes_add_stretches_of_equal_labels(monkeypatch, passing, tile):
+    monkeypatch.setattr(preclusters, "PASSING", passing)
+    monkeypatch.setattr(preclusters, "TILE", tile)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(m, 0.3, size=(90, 3)) for m in (1000, 1002, 1004)])
+    x[:9] = x[0]
+    centres = [x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 7)]
+    sums = preclusters.Sums(x[::2], centres)
+    for at in range(0, len(x), 50):
+        sums.see(x[at : at + 50])
+    other = preclusters.Sums(x[1::2], centres)
+    other.see(x)
+    for (k, a, n), (_, b, m), c in zip(sums.silhouettes(), other.silhouettes(), centres, strict=True):
+        label = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        assert (k, n + m) == (len(c), len(x)) and np.isclose((a + b) / len(x), K.silhouette(x, label), atol=1e-9)

@@ -10,8 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators import moments, selection
 
@@ -27,6 +31,8 @@ BLOCKS, SMALL_ROWS = 16, 1_000
 #: Tasks that blocks are dealt to, at most.
 MOST_TASKS = 2_000
 ROUNDS = 300
+#: Numbers of a tile; rows that pass a block at once; the share of squared lengths below which a product has lost half of its digits.
+TILE, PASSING, CLOSE = 1 << 18, 1 << 17, 1e-6
 
 
 def points(cells: DataFrame, features: list[str], share: float = 0.8) -> DataFrame:
@@ -68,20 +74,20 @@ def seeds(placed: DataFrame, ks: list[int], starts: int, seed: int) -> Centres:
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.array(sorted(map(tuple, frame["point"])))
-        out = []
-        for k in ks:
-            k, rng = min(k, int(frame["n_cells"].iloc[0])), np.random.default_rng((seed, k))
-            for start in range(starts):
-                at = [rng.integers(len(x))]
-                gap = ((x - x[at[0]]) ** 2).sum(axis=1)
-                while len(at) < k:
-                    at.append(rng.choice(len(x), p=gap / gap.sum()) if gap.sum() else rng.integers(len(x)))
-                    gap = np.minimum(gap, ((x - x[at[-1]]) ** 2).sum(axis=1))
-                out.append((frame["stimulus"].iloc[0], k, start, x[at].ravel()))
-        return pd.DataFrame(out, columns=["stimulus", "k", "start", "centres"]).drop_duplicates(["k", "start"])
+        k, rng, out = int(frame["k"].iloc[0]), np.random.default_rng((seed, int(frame["k"].iloc[0]))), []
+        for start in range(starts):
+            at = [rng.integers(len(x))]
+            gap = ((x - x[at[0]]) ** 2).sum(axis=1)
+            while len(at) < k:
+                at.append(rng.choice(len(x), p=gap / gap.sum()) if gap.sum() else rng.integers(len(x)))
+                gap = np.minimum(gap, ((x - x[at[-1]]) ** 2).sum(axis=1))
+            out.append((frame["stimulus"].iloc[0], k, start, x[at].ravel()))
+        return pd.DataFrame(out, columns=["stimulus", "k", "start", "centres"])
 
     kind = placed.schema["stimulus"].dataType.simpleString()
-    drawn = chosen.select("stimulus", "n_cells", "point").groupBy("stimulus").applyInPandas(draw, f"stimulus {kind}, k int, start int, centres array<double>").orderBy("stimulus", "k", "start").toPandas()
+    # A task a stimulus and k; a stimulus with fewer rows than k has as many centres as rows.
+    wanted = F.explode(F.array_distinct(F.array(*(F.least(F.lit(k), F.col("n_cells")).cast("int") for k in ks)))).alias("k")
+    drawn = chosen.select("stimulus", "point", wanted).groupBy("stimulus", "k").applyInPandas(draw, f"stimulus {kind}, k int, start int, centres array<double>").orderBy("stimulus", "k", "start").toPandas()
     return {key: np.stack(rows["centres"].to_list()).reshape(len(rows), key[1], -1) for key, rows in drawn.groupby(["stimulus", "k"], dropna=False)}
 
 
@@ -92,44 +98,86 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return dist.argmin(axis=2), np.maximum(dist.min(axis=2), 0.0)
 
 
-def lloyd(placed: DataFrame, centres: Centres) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """{(stimulus, k): (counts, sums, inertia by start)} of one pass over all rows: sums in each task, added up by the driver.
+def runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(the values of names, points) for each run of rows that share them; column 'point' has arrays of numbers, of one length in a run."""
+    keys = batch.select(names).to_pandas()
+    new = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()
+    new[:1] = True
+    starts = np.flatnonzero(new)
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        values = batch.column("point").slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
+        yield tuple(None if pd.isna(v) else v for v in keys.iloc[at]), values.reshape(end - at, -1)
+
+
+def moved(x: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+    """[counts, sums, inertia] of rows by the nearest of each start's centres (starts, k, dims)."""
+    starts, k, dims = centres.shape
+    # The nearest has the largest 2 c x - c^2.
+    lift = np.concatenate([2 * centres, -(centres * centres).sum(axis=2, keepdims=True)], axis=2).reshape(starts * k, dims + 1)
+    total, gain = np.zeros((starts * k, dims + 1)), np.zeros(starts)
+    step = max(64, TILE // (starts * k))
+    for at in range(0, len(x), step):
+        part = np.concatenate([x[at : at + step], np.ones((min(step, len(x) - at), 1))], axis=1)
+        value = (lift @ part.T).reshape(starts, k, len(part))
+        best = value.max(axis=1)
+        own = (value == best[:, None]).astype(float).reshape(starts * k, -1)
+        added = own @ part
+        if added[:, -1].sum() != starts * len(part):  # of equally near ones the first
+            own = (value.argmax(axis=1)[:, None] == np.arange(k)[:, None]).astype(float).reshape(starts * k, -1)
+            added = own @ part
+        total += added
+        gain += best.sum(axis=1)
+    return [total[:, -1], total[:, :-1], np.maximum((x * x).sum() - gain, 0.0)]
+
+
+def packs(placed: DataFrame) -> RDD:
+    """(stimulus, points as the bytes of their numbers, dims), some thousands of points a row, in a task a core, kept: what rounds read."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"stimulus": stimulus, "x": x.tobytes(), "dims": x.shape[1]} for (stimulus,), x in runs(batch, ["stimulus"])]
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+
+    schema = f"stimulus {placed.schema['stimulus'].dataType.simpleString()}, x binary, dims int"
+    wanted = to_arrow_schema(T.StructType.fromDDL(schema))
+    return placed.select("stimulus", "point").mapInArrow(pack, schema).rdd.map(tuple).coalesce(placed.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def lloyd(points: RDD, centres: Centres) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """{(stimulus, k): (counts, sums, inertia by start)} of one pass over all packs: sums in each task, added up by the driver.
 
     What comes back are k (dims + 1) numbers a run and task, however many rows there are.
     """
-    kind = placed.schema["stimulus"].dataType.simpleString()
+    of: dict = {}
+    for key in centres:
+        of.setdefault(None if pd.isna(key[0]) else key[0], []).append((key, centres[key]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: dict[tuple, list[np.ndarray]] = {}
-        for batch in batches:
-            for stimulus, rows in batch.groupby("stimulus", dropna=False):
-                x = np.stack(rows["point"].to_list())
-                for key in [key for key in centres if key[0] == stimulus or (pd.isna(key[0]) and pd.isna(stimulus))]:
-                    c = centres[key]
-                    labels, gap = nearest(x, c)
-                    slot = (labels + np.arange(c.shape[0]) * c.shape[1]).ravel()
-                    size = c.shape[0] * c.shape[1]
-                    new = [np.bincount(slot, minlength=size), np.stack([np.bincount(slot, np.repeat(x[:, q], c.shape[0]), size) for q in range(x.shape[1])], axis=1), gap.sum(axis=0)]
-                    held[key] = new if key not in held else [a + b for a, b in zip(held[key], new, strict=True)]
-        if held:
-            yield pd.DataFrame([(s, k, np.concatenate([v.ravel() for v in values]).astype(float)) for (s, k), values in held.items()], columns=["stimulus", "k", "numbers"])
-
-    schema = f"stimulus {kind}, k int, numbers array<double>"
-    got = placed.select("stimulus", "point").mapInPandas(run, schema).toPandas()
-    got = got.groupby(["stimulus", "k"], dropna=False)["numbers"].agg(lambda parts: np.sum(parts.to_list(), axis=0)).reset_index()
+        for stimulus, x, dims in rows:
+            x = np.frombuffer(x).reshape(-1, dims)
+            for (_, k), c in of.get(stimulus, []):
+                new = moved(x, c)
+                held[stimulus, k] = new if (stimulus, k) not in held else [a + b for a, b in zip(held[stimulus, k], new, strict=True)]
+        return iter(held.items())
+
+    found: dict[tuple, list[np.ndarray]] = {}
+    for key, numbers in points.mapPartitions(run).collect():
+        found[key] = numbers if key not in found else [a + b for a, b in zip(found[key], numbers, strict=True)]
     out = {}
-    for key, numbers in zip(zip(got["stimulus"], got["k"], strict=True), got["numbers"], strict=True):
-        starts, k, dims = centres[key].shape
-        counts, sums, inertia = np.split(np.asarray(numbers), [starts * k, starts * k * (dims + 1)])
-        out[key] = counts.reshape(starts, k), sums.reshape(starts, k, dims), inertia
+    for stimulus, keys in of.items():
+        for key, c in keys:
+            starts, k, dims = c.shape
+            counts, sums, inertia = found[stimulus, key[1]]
+            out[key] = counts.reshape(starts, k), sums.reshape(starts, k, dims), inertia
     return out
 
 
 def kmeans(placed: DataFrame, ks: list[int], starts: int = 50, seed: int = 42) -> dict[tuple, tuple[np.ndarray, float]]:
     """{(stimulus, k): (centres, inertia)} of the best start. Each round moves all starts of all k that still move, in one pass over the rows."""
-    going, best = seeds(placed, ks, starts, seed), {}
+    going, best, points = seeds(placed, ks, starts, seed), {}, packs(placed)
     for turn in range(ROUNDS + 1):
-        found, then = lloyd(placed, going), {}
+        found, then = lloyd(points, going), {}
         for key, (counts, sums, inertia) in found.items():
             old = going[key]
             new = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], old)
@@ -140,14 +188,15 @@ def kmeans(placed: DataFrame, ks: list[int], starts: int = 50, seed: int = 42) -
             if still.any():
                 then[key] = new[still]
         if not then:
-            return best
+            break
         going = then
+    points.unpersist()
     return best
 
 
 def dealt(placed: DataFrame) -> DataFrame:
     """placed in a few tasks a core, and kept: a round is much work on few bytes, so its tasks must not follow the bytes."""
-    return placed.repartition(2 * placed.sparkSession.sparkContext.defaultParallelism).persist()
+    return placed.repartition(2 * placed.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("stimulus").persist()
 
 
 def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: float = 0.8, starts: int = 50, seed: int = 42) -> DataFrame:
@@ -159,55 +208,107 @@ def silhouettes(cells: DataFrame, features: list[str], ks: list[int], share: flo
     return scores(placed, kmeans(placed, sorted(set(ks)), starts, seed))
 
 
+class Sums:
+    """For each row of a block and cluster of each k, the sum of its distances to the rows that have passed."""
+
+    def __init__(self, block: np.ndarray, centres: list[np.ndarray]):
+        self.centres, self.middle = centres, block.mean(axis=0)
+        self.block = block - self.middle
+        self.ends = np.cumsum([len(c) for c in centres])
+        self.total, self.sizes = np.zeros((len(block), self.ends[-1])), np.zeros(self.ends[-1])
+        self.held, self.waiting = [], 0
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        """Each row's cluster for each k."""
+        return np.stack([nearest(x, c[None])[0][:, 0] for c in self.centres])
+
+    def see(self, x: np.ndarray) -> None:
+        self.held.append(x)
+        self.waiting += len(x)
+        if self.waiting >= PASSING:
+            self.add()
+
+    def add(self) -> None:
+        """Rows that share their clusters of all k are one stretch, so that a distance is added once and not once for each k."""
+        if not self.held:
+            return
+        x, self.held, self.waiting = np.concatenate(self.held), [], 0
+        labels = self.labels(x)
+        order = np.lexsort(labels)
+        x, labels = x[order] - self.middle, labels[:, order]
+        new = np.concatenate([[True], (labels[:, 1:] != labels[:, :-1]).any(axis=0)])
+        a, b = self.block, x
+        long_a, long_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        left, right = np.column_stack([-2 * a, long_a, np.ones(len(a))]), np.column_stack([b, np.ones(len(b)), long_b]).T
+        wide, high = 4096, TILE // 4096
+        for q in range(0, len(b), wide):
+            starts = np.flatnonzero(new[q : q + wide])
+            if not len(starts) or starts[0]:
+                starts = np.append(0, starts)
+            of, n = labels[:, q + starts], np.diff(np.append(starts, len(b[q : q + wide])))
+            member = np.zeros((len(starts), self.ends[-1]))
+            for own, first in zip(of, self.ends - [len(c) for c in self.centres], strict=True):
+                member[np.arange(len(starts)), first + own] = 1.0
+            self.sizes += n @ member
+            short = len(starts) > wide // 8
+            if short:  # stretches of a few rows
+                member = np.repeat(member, n, axis=0)
+            columns, far_b = np.ascontiguousarray(right[:, q : q + wide]), long_b[q : q + wide].max()
+            for p in range(0, len(a), high):
+                dist = left[p : p + high] @ columns
+                # A product loses its digits where rows are close, so those are taken by their difference.
+                close = dist <= CLOSE * (long_a[p : p + high].max() + far_b)
+                if close.any():
+                    r, c = np.nonzero(close)
+                    dist[r, c] = ((a[p + r] - b[q + c]) ** 2).sum(axis=1)
+                np.sqrt(dist, out=dist)
+                self.total[p : p + high] += (dist if short else np.add.reduceat(dist, starts, axis=1)) @ member
+
+    def silhouettes(self) -> list[tuple[int, float, int]]:
+        """(k, sum of silhouettes, rows) of the block for each k, all rows having passed."""
+        self.add()
+        out = []
+        for c, label, sums, n in zip(self.centres, self.labels(self.block + self.middle), np.split(self.total, self.ends[:-1], axis=1), np.split(self.sizes, self.ends[:-1]), strict=True):
+            own = np.arange(len(label)), label
+            a, b = sums[own] / np.maximum(n[label] - 1, 1), sums / np.maximum(n, 1)
+            b[:, n == 0] = np.inf
+            b[own] = np.inf
+            b = b.min(axis=1)
+            s = np.where((n[label] > 1) & (1 < (n > 0).sum() < n.sum()), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            out.append((len(c), float(s.sum()), len(s)))
+        return out
+
+
 def scores(placed: DataFrame, best: dict[tuple, tuple[np.ndarray, float]]) -> DataFrame:
     """silhouettes of placed rows by the centres of kmeans."""
     kind = placed.schema["stimulus"].dataType.simpleString()
     by_stimulus: dict = {}
-    for (stimulus, k), (centres, _) in best.items():
-        by_stimulus.setdefault(None if pd.isna(stimulus) else stimulus, []).append((k, centres))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, mine, block, sums, sizes = None, [], None, None, None
-
-        def out() -> pd.DataFrame:
-            rows = []
-            for q, (k, centres) in enumerate(by_stimulus[at[0]]):
-                label, n = nearest(block, centres[None])[0][:, 0], sizes[q]
-                own = np.arange(len(block)), label
-                a, b = sums[q][own] / np.maximum(n[label] - 1, 1), sums[q] / np.maximum(n, 1)
-                b[:, n == 0] = np.inf
-                b[own] = np.inf
-                b = b.min(axis=1)
-                fit = (n > 0).sum()
-                s = np.where((n[label] > 1) & (1 < fit < n.sum()), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                rows.append((at[0], len(centres), float(s.sum()), len(s)))
-            return pd.DataFrame(rows, columns=["stimulus", "k", "total", "n"])
+    for (stimulus, _), (centres, _) in best.items():
+        by_stimulus.setdefault(None if pd.isna(stimulus) else stimulus, []).append(centres)
+    schema = f"stimulus {kind}, k int, total double, n long"
+    wanted = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, sums = None, [], None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"stimulus": at[0], "k": k, "total": total, "n": n} for k, total, n in sums.silhouettes()], schema=wanted)
 
         for batch in batches:
-            batch["stimulus"] = batch["stimulus"].astype(object).where(batch["stimulus"].notna(), None)
-            for key, rows in batch.groupby(["stimulus", "block", "passing"], sort=False, dropna=False):
-                unit, x = (None if pd.isna(key[0]) else key[0], key[1]), np.stack(rows["point"].to_list())
-                if unit != at:
-                    if block is not None:
+            for (stimulus, block, passing), x in runs(batch, ["stimulus", "block", "passing"]):
+                if (stimulus, block) != at:
+                    if sums is not None:
                         yield out()
-                    at, mine, block = unit, [], None
-                if not key[2]:
+                    at, mine, sums = (stimulus, block), [], None
+                if not passing:
                     mine.append(x)
                     continue
-                of = by_stimulus[unit[0]]
-                if block is None:
-                    block = np.concatenate(mine)
-                    sums, sizes = [np.zeros((len(block), len(c))) for _, c in of], [np.zeros(len(c)) for _, c in of]
-                for part in np.array_split(x, -(-len(x) * len(block) // (1 << 20))):
-                    dist = (block[:, :1] - part[:, 0]) ** 2
-                    for axis in range(1, part.shape[1]):
-                        dist += (block[:, axis : axis + 1] - part[:, axis]) ** 2
-                    ones = [np.eye(len(c))[nearest(part, c[None])[0][:, 0]] for _, c in of]
-                    added = np.sqrt(dist, out=dist) @ np.concatenate(ones, axis=1)
-                    for q, columns in enumerate(np.split(added, np.cumsum([one.shape[1] for one in ones])[:-1], axis=1)):
-                        sums[q] += columns
-                        sizes[q] += ones[q].sum(axis=0)
-        if block is not None:
+                if sums is None:
+                    if not mine:  # a block that no row fell into
+                        continue
+                    sums = Sums(np.concatenate(mine), by_stimulus[stimulus])
+                sums.see(x)
+        if sums is not None:
             yield out()
 
     # Each block of each stimulus is a unit of work; a row a stimulus says where its units begin.
@@ -222,7 +323,7 @@ def scores(placed: DataFrame, best: dict[tuple, tuple[np.ndarray, float]]) -> Da
     others = numbered.select("stimulus", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("passing"), "point", "first")
     tasks = max(1, min(units, MOST_TASKS))
     units_met = mine.union(others).repartitionById(tasks, F.expr(f"cast((first + block) % {tasks} as int)")).drop("first").sortWithinPartitions("stimulus", "block", "passing")
-    parts = units_met.mapInPandas(scored, f"stimulus {kind}, k int, total double, n long").groupBy("stimulus", "k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    parts = units_met.mapInArrow(scored, schema).groupBy("stimulus", "k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
     shapes = placed.select(F.col("stimulus").alias("of"), "n_cells", "pca_dims").distinct()
     return parts.join(shapes, parts["stimulus"].eqNullSafe(shapes["of"])).select("stimulus", "n_cells", "pca_dims", "k", "silhouette")
 
