@@ -113,3 +113,10 @@ def test_silhouettes_add_stretches_of_equal_labels(monkeypatch, passing, tile):
     for (k, a, n), (_, b, m), c in zip(sums.silhouettes(), other.silhouettes(), centres, strict=True):
         label = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
         assert (k, n + m) == (len(c), len(x)) and np.isclose((a + b) / len(x), K.silhouette(x, label), atol=1e-9)
+
+
+def test_silhouettes_are_worked_out_once_for_the_choice(spark, cells, monkeypatch):
+    names, write = [], preclusters.written
+    monkeypatch.setattr(preclusters, "written", lambda frame, name: (names.append(name), write(frame, name))[1])
+    assert preclusters.preclusters(cells, FEATURES, ks=[2, 3], starts=2).count() == 180
+    assert names == ["silhouettes"]

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators import moments, selection
+from ..sources.written import written
 
 
 def _matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -355,4 +356,6 @@ def preclusters(cells: DataFrame, features: list[str], ks: list[int] | None = No
     """cells (stimulus, features) with cluster, without (stimulus, cluster) groups of fewer than `least` rows."""
     placed = dealt(points(cells, features).select("stimulus", "n_cells", "pca_dims", "point"))
     best = kmeans(placed, sorted(set(ks or range(2, 11))), starts)
-    return selection.large_groups(assigned(cells, features, selected(scores(placed, best), tolerance), best=best), ["stimulus", "cluster"], least)
+    # Written once: the choice reads them twice.
+    found = written(scores(placed, best), "silhouettes")
+    return selection.large_groups(assigned(cells, features, selected(found, tolerance), best=best), ["stimulus", "cluster"], least)
